@@ -1,0 +1,96 @@
+"""Graphs, partitions, reductions and ranks on small fixtures."""
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from spindle.operators import aggregate, partition
+from spindle.operators.graph import Graph
+from spindle.operators.pagerank import loop_partitions, pagerank
+from spindle.streaming.edges import stream_degrees
+
+GRAPHS = {
+    "path": ([(1, 2), (2, 3)], [0, 1, 2, 1], [0.15, 0.770270290, 1.459459419, 0.770270290]),
+    "triangle": ([(0, 1), (1, 2), (2, 0)], [2, 2, 2], [1, 1, 1]),
+    "star": ([(0, 1), (0, 2), (0, 3), (0, 4)], [4, 1, 1, 1, 1], [2.378378258] + [0.655405436] * 4),
+    "loop": ([(0, 0)], [2], [1]),
+    "loop and tail": ([(0, 0), (0, 1)], [3, 1], [1.441558442, 0.558441558]),
+    "parallel": ([(0, 1), (0, 1), (1, 2)], [2, 3, 1], [0.977027054, 1.459459419, 0.563513527]),
+    "reciprocal": ([(0, 1), (1, 0), (1, 2)], [2, 3, 1], [0.977027054, 1.459459419, 0.563513527]),
+    "gap": ([(0, 5)], [1, 0, 0, 0, 0, 1], [1, 0.15, 0.15, 0.15, 0.15, 1]),
+    "empty": ([], [0], [0.15]),
+}
+
+
+def graph(spark, edges):
+    return Graph(spark.createDataFrame(edges, "src long, dst long"))
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_degrees_and_ranks(spark, name):
+    edges, deg, pr = GRAPHS[name]
+    g = graph(spark, edges)
+    assert (g.vertex_num, g.edge_num) == (len(deg), len(edges))
+    assert [r.deg for r in g.degrees().orderBy("id").collect()] == deg
+    assert [r.pr for r in pagerank(g).orderBy("id").collect()] == pytest.approx(pr, abs=1e-6)
+
+
+@pytest.mark.parametrize("rounds,want", [(0, [1, 1, 1, 1]), (1, [0.15, 0.575, 1.85, 0.575]), (2, [0.15, 0.93625, 1.1275, 0.93625])])
+def test_first_rounds(spark, rounds, want):
+    assert [r.pr for r in pagerank(graph(spark, GRAPHS["path"][0]), rounds).orderBy("id").collect()] == pytest.approx(want)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), min_size=1, max_size=20))
+def test_properties(spark, edges):
+    g, back = graph(spark, edges), graph(spark, [(b, a) for a, b in reversed(edges)])
+    deg = {r.id: r.deg for r in g.degrees().collect()}
+    pr = {r.id: r.pr for r in pagerank(g, 10).collect()}
+    assert sum(deg.values()) == 2 * g.edge_num
+    assert sum(v for k, v in pr.items() if deg[k]) == pytest.approx(sum(map(bool, deg.values())))
+    assert all(v == pytest.approx(0.15) for k, v in pr.items() if not deg[k])
+    assert {r.id: r.pr for r in pagerank(back, 10).collect()} == pytest.approx(pr)
+
+
+def test_adjacency(spark):
+    g = graph(spark, [(0, 0), (0, 2), (0, 2)])
+    assert {r.id: [x.to for x in r.nbrs] for r in g.adjacency().collect()} == {0: [0, 0, 2, 2], 1: [], 2: [0, 0]}
+    assert sorted(r.to for r in g.neighbours(2).collect()) == [0, 0]
+    assert [r.value for r in g.array(7).collect()] == [7, 7, 7]
+
+
+@pytest.mark.parametrize("n,p,ends", [(1, 2, [1, 1]), (4, 2, [3, 4]), (5, 2, [3, 5]), (10, 3, [4, 8, 10]), (4, 4, [2, 4, 4, 4]), (3, 1, [3])])
+def test_bounds(spark, n, p, ends):
+    assert [r.end_id for r in partition.partition_bounds(spark, n, p).orderBy("part").collect()] == ends
+    for r in partition.partition_vertices(spark.range(n), partition.range_partitioner(n, p)).collect():
+        assert (([0] + ends)[r.part] <= r.id < ends[r.part]) and 0 <= r.part < p
+
+
+def test_edges_go_to_both_owners(spark):
+    e = spark.createDataFrame([(0, 1), (0, 3), (3, 0)], "src long, dst long")
+    got = sorted(tuple(r) for r in partition.partition_edges(e, partition.range_partitioner(4, 2)).collect())
+    assert got == [(0, 1, 0), (0, 3, 0), (0, 3, 1), (3, 0, 0), (3, 0, 1)]
+    assert all(0 <= r.part < 3 for r in partition.partition_vertices(spark.range(50), partition.hash_partitioner(3)).collect())
+    with pytest.raises(ValueError):
+        partition.range_partitioner(4, 0)
+
+
+def test_reductions(spark):
+    df = spark.createDataFrame([(2, 5), (0, 100), (1, 7)], "rank int, v long")
+    assert aggregate.all_reduce(df, "rank", "v", lambda a, b: a - b).first()[0] == 88
+    assert aggregate.all_reduce(df.limit(0), "rank", "v", lambda a, b: a - b).first()[0] is None
+    assert aggregate.global_max(df, "v").first()[0] == 100 and aggregate.global_sum(df.limit(0), "v").first()[0] == 0
+    sent = aggregate.all_to_all(df, "rank", 3)
+    assert sent.rdd.getNumPartitions() == 3 and sent.count() == 3
+
+
+def test_loop_partitions():
+    assert [loop_partitions(x, 8) for x in (0, 10, 10**6, 10**8, 10**10)] == [1, 1, 3, 25, 2500]
+
+
+def test_streaming_degrees(spark, tmp_path):
+    spark.createDataFrame([(0, 1), (1, 1)], "src long, dst long").write.parquet(str(tmp_path / "in"))
+    q = stream_degrees(spark.readStream.schema("src long, dst long").parquet(str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("degs").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {r.id: r.deg for r in spark.table("degs").collect()} == {0: 1, 1: 3}
