@@ -31,7 +31,7 @@ from spindle.llm.components import components
 from spindle.llm.textscan import batches, shingle_sets
 from spindle.session import discard, materialise
 
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BLOOM_BITS = 26
 BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
 
@@ -306,7 +306,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(5, math.ceil(math.log2(max(2, parts))))
+    bits = max(7, 2 + math.ceil(math.log2(max(2, parts))))
 
     packed = texts.select("text").mapInArrow(_count_task(k, bits), "bucket int, keys binary, counts binary")
     counts = materialise(packed.groupBy("bucket").applyInArrow(_frequent(least_times), "key long, times long"), "counts")

@@ -1,7 +1,7 @@
 """Words and word shingles of Arrow string columns, hashed with numpy over the raw UTF-8 bytes.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Separators are ASCII, so the
-bytes of a longer UTF-8 sequence are never cut. A null text counts as empty. Work goes through pieces of about a
+bytes of a longer UTF-8 sequence are never cut. A null text counts as empty. Work goes through pieces of a quarter of a
 megabyte that end at a separator or at a document's end, so memory follows the largest single word, not the text.
 """
 
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C55)
 _PINV = np.uint64(pow(int(_P), -1, 2**64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -121,7 +121,7 @@ def fold(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(1, k):
         out *= _P
         out += h[i : n + i]
-    return mix(out + np.uint64(k) * _STEP)
+    return mix(out + np.uint64(k * int(_STEP) & (2**64 - 1)))
 
 
 def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
@@ -140,7 +140,7 @@ def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def batches(source, columns: list[str], limit: int = 8 << 20):
+def batches(source, columns: list[str], limit: int = 2 << 20):
     """Slices of record batches with at most ``limit`` bytes of text in ``columns[0]``, one row at least."""
     for batch in source:
         size, at = np.diff(raw(batch.column(columns[0]))[1]), 0
