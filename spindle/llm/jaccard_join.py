@@ -10,8 +10,11 @@ order of tokens that holds for all sets. The order here puts the tokens that mos
    A list of a token's groups is cut where the sizes of neighbours differ by more than t allows.
 3. Blocks. Groups that share lists get a common label and are dealt into blocks of bounded size by label and size
    class. Two blocks are compared if some list has groups of both and their size classes can match.
-4. Members. Groups expand to their distinct sets, one per class of equal sets. A task gets two blocks and counts all
-   overlaps in them by matrix products, so no pair is ever a row. It returns links as a forest and a degree per set.
+4. Members. Groups expand to their distinct sets, one per class of equal sets. A task gets two blocks, so no pair is
+   ever a row. First it sees the sets as bits, each the parity of how many tokens hash to its place: two sets differ in
+   at least as many tokens as bits, which bounds their overlap. Only sets with a partner within the bound are then sent
+   whole, and all overlaps in two blocks are counted by matrix products. The result is a forest of links, and a degree
+   for each set.
 5. Classes. Components of the links, by joins.
 
 Shingles and sets are compared as 64-bit hashes.
@@ -33,7 +36,7 @@ from spindle.session import discard, materialise
 
 FLUSH = 1_000_000
 BLOOM_BITS = 26
-BLOCK_SETS, BLOCK_SHINGLES = 256, 400_000
+BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -122,7 +125,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("grp", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary())])
+ROWS = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("grp", pa.int64()), ("bits", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("groups", pa.binary()), ("sizes", pa.binary())])
 
 
 def _signed(x: int) -> int:
@@ -133,6 +136,23 @@ def node_of(s: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(s.tobytes()))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Twice to four times as many bits as tokens, at least 64: the parity of the number of tokens at each place."""
+    b = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b) & 1).tobytes()
+
+
+def folded(marks: list[bytes]) -> np.ndarray:
+    """Parities as words, all folded to the shortest of them."""
+    least, out = min(map(len, marks)), []
+    for m in marks:
+        x = np.frombuffer(m, np.uint8)
+        while len(x) > least:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out.append(x)
+    return np.stack(out).view(np.uint64)
+
+
 def _prefix_task(k: int, num: int, den: int, bits: int, order):
     """Rows of kind 0 (a document's size, set and group) and kind 1 (tokens with their groups, by key range)."""
 
@@ -151,20 +171,22 @@ def _prefix_task(k: int, num: int, den: int, bits: int, order):
                     for name, v in (("bucket", int(i)), ("keys", pack(_low(t[a:b], bits))), ("groups", g[each[a:b]].tobytes()), ("sizes", z[each[a:b]].tobytes())):
                         cols[name].append(v)
             m = len(cols["bucket"])
-            return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(cols["bucket"], pa.int32()), pa.array(cols["keys"], pa.binary()), pa.array(cols["groups"], pa.binary()), pa.array(cols["sizes"], pa.binary())], schema=ROWS)
+            return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(cols["bucket"], pa.int32()), pa.array(cols["keys"], pa.binary()), pa.array(cols["groups"], pa.binary()), pa.array(cols["sizes"], pa.binary())], schema=ROWS)
 
         for batch in batches(source, ["text"]):
-            ns, nodes, grps = [], [], []
+            ns, nodes, grps, marks = [], [], [], []
             for s in shingle_sets(batch.column("text"), k):
                 ns.append(len(s))
                 if not len(s):
                     nodes.append(None)
                     grps.append(None)
+                    marks.append(None)
                     continue
                 p = rank.prefix(s, prefix_length(len(s), num, den))
                 g = _signed(xxhash.xxh3_64_intdigest(p.tobytes(), seed=len(s)))
                 nodes.append(node_of(s))
                 grps.append(g)
+                marks.append(parities(s))
                 if g not in seen:
                     seen.add(g)
                     tokens.append(p)
@@ -172,7 +194,7 @@ def _prefix_task(k: int, num: int, den: int, bits: int, order):
                     sizes.append(len(s))
                     n += len(p)
             m = len(ns)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), pa.array(grps, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), pa.array(grps, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=ROWS)
             if n >= FLUSH:
                 yield flush()
                 seen, tokens, groups, sizes, n = set(), [], [], [], 0
@@ -234,14 +256,63 @@ def _set_task(k: int, bloom):
     return run
 
 
+def _screen(num: int, den: int):
+    """The sets in two blocks that have a partner there whose overlap is not ruled out by the parities."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blocks = table.column("block").to_pylist()
+        sets = [_members(table, i) for i in range(len(blocks))]
+        words = folded([x for m in sets for x in m.field("bits").to_pylist()])
+        size = np.concatenate([m.field("n").to_numpy() for m in sets]).astype(np.int64)
+        cut = len(sets[0])
+        left, right = np.arange(cut), np.arange(cut if len(sets) > 1 else 0, len(size))
+        some = np.zeros(len(size), bool)
+        rows = max(1, (1 << 20) // (len(right) * words.shape[1]))
+        for a in range(0, cut, rows):
+            i = left[a : a + rows]
+            differ = np.bitwise_count(words[i][:, None, :] ^ words[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            both = size[i][:, None] + size[right][None, :]
+            most = (both - differ) // 2
+            near = (den * most >= num * (both - most)) & (i[:, None] != right[None, :])
+            some[i] |= near.any(axis=1)
+            some[right] |= near.any(axis=0)
+        masks = [some[:cut], some[cut:]][: len(sets)]
+        keep = [i for i, m in enumerate(masks) if m.any()]
+        pair = table.column("pair")[0].as_py()
+        return pa.table({"pair": pa.array([pair] * len(keep), pa.int64()), "block": pa.array([blocks[i] for i in keep], pa.int64()), "mask": pa.array([np.packbits(masks[i]).tobytes() for i in keep], pa.binary())})
+
+    return run
+
+
+def _members(table: pa.Table, i: int) -> pa.StructArray:
+    """The sets of a block, which a row holds as an array ordered by node."""
+    return table.column("sets")[i].values
+
+
+def _either(table: pa.Table) -> pa.Table:
+    """A block's masks in one."""
+    masks = [np.frombuffer(x.as_py(), np.uint8) for x in table.column("mask")]
+    return pa.table({"block": table.column("block")[:1], "mask": pa.array([np.bitwise_or.reduce(masks).tobytes()], pa.binary())})
+
+
+def _marked(source):
+    """The nodes of blocks that a mask has."""
+    for batch in source:
+        for i in range(batch.num_rows):
+            sets = batch.column("sets")[i].values
+            on = np.flatnonzero(np.unpackbits(np.frombuffer(batch.column("mask")[i].as_py(), np.uint8))[: len(sets)])
+            node = sets.field("node").take(pa.array(on))
+            yield pa.RecordBatch.from_arrays([node, pa.array([batch.column("block")[i].as_py()] * len(on), pa.int64())], ["node", "block"])
+
+
 def _compare(num: int, den: int):
     """Links within two blocks: each linked set with the smallest set linked to it here, and the copies it links to."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, at = np.unique(table.column("node").to_numpy(), return_index=True)
-        block, copies = (table.column(c).to_numpy()[at] for c in ("block", "copies"))
-        tokens = table.column("tokens")
-        sets = [np.frombuffer(tokens[int(i)].as_py(), np.uint64) for i in at]
+        blocks = [_members(table, i) for i in range(table.num_rows)]
+        block = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+        node, copies = (np.concatenate([b.field(c).to_numpy() for b in blocks]) for c in ("node", "copies"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for b in blocks for x in b.field("tokens")]
         size = np.array([len(s) for s in sets], np.int64)
         every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
         by = np.argsort(every, kind="stable")
@@ -264,11 +335,11 @@ def _compare(num: int, den: int):
         common = common.astype(np.int64)
         link = den * common >= num * (size[:, None] + size[None, :] - common)
         np.fill_diagonal(link, False)
-        if len(np.unique(block)) > 1:
+        if len(blocks) > 1:
             link &= block[:, None] != block[None, :]  # each block is compared with itself elsewhere
         root = np.arange(len(sets))
         while True:
-            near = np.where(link, root[None, :], len(sets)).min(axis=1, initial=len(sets))
+            near = np.where(link, root[None, :], len(sets)).min(axis=1)
             new = np.minimum(root, near)
             new = np.minimum(new, new[new])
             if (new == root).all():
@@ -312,24 +383,24 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = materialise(packed.groupBy("bucket").applyInArrow(_frequent(least_times), "key long, times long"), "counts")
     order = spark.sparkContext.broadcast(Order(*_heavy(counts, heavy_tokens), bits))
 
-    rows = materialise(texts.mapInArrow(_prefix_task(k, num, den, bits, order), "kind int, doc_id long, n int, node long, grp long, bucket int, keys binary, groups binary, sizes binary"), "prefixes", ["kind"])
-    meta = rows.where("kind = 0").select("doc_id", "n", "node", "grp")
+    rows = materialise(texts.mapInArrow(_prefix_task(k, num, den, bits, order), "kind int, doc_id long, n int, node long, grp long, bits binary, bucket int, keys binary, groups binary, sizes binary"), "prefixes", ["kind"])
+    meta = rows.where("kind = 0").select("doc_id", "n", "node", "grp", "bits")
     posted = rows.where("kind = 1").select("bucket", "keys", "groups", "sizes")
     lists = materialise(posted.groupBy("bucket").applyInArrow(_lists(num, den), "list long, grp long, n int, hub long"), "lists")
     discard(counts)
 
     # Blocks of groups: by label and size class, as many as their sets and shingles need.
-    sets = meta.where("node is not null").groupBy("node").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    sets = meta.where("node is not null").groupBy("node").agg(F.first("grp").alias("grp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     sets = materialise(sets, "sets")
     several = sets.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).where("m > 1").select("grp", "n", F.col("grp").alias("hub"))
     label = lists.select("grp", "n", "hub").union(several).groupBy("grp").agg(F.min("hub").alias("label"), F.first("n").alias("n"))
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(den / num))).cast("int")
     label = label.withColumn("sc", size_class).drop("n")
-    members = materialise(sets.join(label, "grp").select("node", "grp", "least_id", "copies", "n", "label", "sc"), "members")
+    members = materialise(sets.join(label, "grp").select("node", "grp", "n", "label", "sc"), "members")
     wanted = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
     room = members.groupBy("label", "sc").agg(wanted.alias("blocks"))
     block = F.xxhash64("label", "sc", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")
-    placed = materialise(members.join(room, ["label", "sc"]).select("node", "grp", "least_id", "copies", "sc", block), "blocks")
+    placed = materialise(members.join(room, ["label", "sc"]).select("node", "grp", "sc", block), "blocks")
 
     of_group = placed.select("grp", F.struct("sc", "block").alias("at")).distinct()
     in_list = lists.select("list", "grp").union(several.select(F.col("grp").alias("list"), "grp")).join(of_group, "grp")
@@ -338,15 +409,25 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = one.where("y.sc - x.sc <= 1").select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
     sides = pairs.select(F.xxhash64("x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
 
-    pos = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS))
-    words = placed.select(F.pmod(F.xxhash64("least_id"), F.lit(1 << BLOOM_BITS)).alias("pos")).groupBy(F.expr("pos div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("b")).toArrow()
+    # A block is one row from here on, so joins with pairs of blocks make no rows for their sets.
+    held = placed.select("node", "block").join(sets.select("node", "n", "bits"), "node")
+    held = materialise(held.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("node", "n", "bits"))).alias("sets")), "packed")
+    kept = materialise(held.join(sides, "block").groupBy("pair").applyInArrow(_screen(num, den), "pair long, block long, mask binary"), "screened")
+    marked = materialise(kept.select("block", "mask").groupBy("block").applyInArrow(_either, "block long, mask binary").join(held, "block").mapInArrow(_marked, "node long, block long"), "marked")
+
+    # Whole sets of those that are left, from the texts. The table of bits has a fixed size; it only saves work.
+    left = marked.join(sets, "node").select("node", "block", "least_id", "copies")
+    pos = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BLOOM_BITS))
+    words = left.select(pos("least_id").alias("pos")).groupBy(F.expr("pos div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("b")).toArrow()
     table = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
     table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint64)
     bloom = spark.sparkContext.broadcast(table)
-    full = texts.select("text", pos.alias("pos")).mapInArrow(_set_task(k, bloom), "node long, tokens binary")
-
-    compared = placed.select("node", "block", "copies").join(full, "node").join(sides, "block").groupBy("pair").applyInArrow(_compare(num, den), "node long, root long, links long")
-    compared = materialise(compared, "compared")
+    full = texts.select("text", pos("doc_id").alias("pos")).mapInArrow(_set_task(k, bloom), "node long, tokens binary")
+    full = full.groupBy("node").agg(F.first("tokens").alias("tokens")).join(left.select("node", "block", "copies"), "node")
+    full = full.groupBy("block").agg(F.collect_list(F.struct("node", "copies", "tokens")).alias("sets"))
+    compared = materialise(full.join(kept.select("pair", "block"), "block").groupBy("pair").applyInArrow(_compare(num, den), "node long, root long, links long"), "compared")
+    for used in (lists, members, placed, held, kept, marked):
+        discard(used)
     degree = compared.groupBy("node").agg(F.sum("links").alias("links"))
     root = components(compared.where("node <> root"), "node", "root")
 
