@@ -18,6 +18,8 @@ _PINV = np.uint64(pow(int(_P), -1, 2**64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 9, 10, 11, 12, 13]] = True
+#: Every ASCII character but letters and digits: words without punctuation.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOW = np.arange(256, dtype=np.uint64)
 _LOW[65:91] += np.uint64(32)
 _powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "q": np.ones(1, np.uint64)}
@@ -60,7 +62,7 @@ class Words:
     first: np.ndarray
 
 
-def _pieces(data: np.ndarray, bounds: np.ndarray):
+def _pieces(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray):
     lo, end = int(bounds[0]), int(bounds[-1])
     while lo < end:
         hi = min(lo + PIECE, end)
@@ -72,7 +74,7 @@ def _pieces(data: np.ndarray, bounds: np.ndarray):
             else:
                 stop = int(bounds[at])
                 while hi < stop:
-                    found = np.flatnonzero(_SEP[data[hi : min(hi + 65536, stop)]])
+                    found = np.flatnonzero(separators[data[hi : min(hi + 65536, stop)]])
                     if len(found):
                         hi += int(found[0])
                         break
@@ -81,13 +83,13 @@ def _pieces(data: np.ndarray, bounds: np.ndarray):
         lo = hi
 
 
-def scan(column: pa.Array) -> Words:
-    """All words of a string column."""
+def scan(column: pa.Array, separators: np.ndarray = _SEP) -> Words:
+    """All words of a string column. ``separators`` has 256 flags, set for ASCII bytes only."""
     data, bounds = raw(column)
     hashes, starts, ends = [], [], []
-    for lo, hi in _pieces(data, bounds):
+    for lo, hi in _pieces(data, bounds, separators):
         b = data[lo:hi]
-        word = ~_SEP[b]
+        word = ~separators[b]
         fresh = np.zeros(hi - lo + 1, bool)
         fresh[bounds[np.searchsorted(bounds, lo) : np.searchsorted(bounds, hi, "right")] - lo] = True
         fresh[0] = fresh[-1] = True
