@@ -5,7 +5,7 @@ and all their byte n-grams of two to five bytes, hashed to ``BUCKETS`` places. E
 together by stochastic gradient descent in numpy, on at most ``SAMPLE_A_LANGUAGE`` documents of each of at most
 ``LANGUAGES`` languages. A part of the sample is held back: on it a temperature is fitted to the softmax, and a
 threshold on its probability below which a document is rejected, such that ``REJECT_SHARE`` of the documents held back
-fall below it, and none with a probability over ``REJECT_BELOW``.
+fall below it, and at most a tenth (``REJECT_OVER_CHANCE``) of the way from chance to certainty: mixed texts stay.
 
 As prediction is linear up to the softmax, a word adds a fixed vector to a document's scores. Every worker keeps those
 of the words that it has met lately.
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from spindle.llm.textscan import batches, mix
 from spindle.session import materialise
 
-SAMPLE_A_LANGUAGE, LANGUAGES = 1200, 64
-BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 6, 16, 2.0
-HELD_BACK, REJECT_SHARE, REJECT_BELOW = 5, 0.0005, 0.5
+SAMPLE_A_LANGUAGE, LANGUAGES = 800, 64
+BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 4, 16, 2.0
+HELD_BACK, REJECT_SHARE, REJECT_OVER_CHANCE = 5, 0.0005, 0.1
 MEMO = 150_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -144,7 +144,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
         loss = [-np.log(np.maximum(Model(langs, scores, model.bias, t, 0).probabilities(logits)[own], 1e-12)).mean() for t in tries]
         model.temperature = float(tries[int(np.argmin(loss))])
         top = model.probabilities(logits).max(axis=1)
-        model.threshold = float(min(REJECT_BELOW, np.quantile(top, REJECT_SHARE)))
+        model.threshold = float(min((1 + (k - 1) * REJECT_OVER_CHANCE) / k, np.quantile(top, REJECT_SHARE)))
     return model
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import chat, decontaminate, jaccard_join, language, packing, token_store
+from spindle.llm import chat, decontaminate, jaccard_join, language, packing, token_store, topk
 from spindle.session import shared_dir
 
 
@@ -21,6 +21,10 @@ def _remainder(column: str, n: int):
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
+def op1_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs.where(_remainder("doc_id", 4) != 2))
@@ -65,6 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk_search": op1_exact_topk_search,
     "op2_language_id": op2_language_id,
     "op3_chat_formatting": op3_chat_formatting,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
@@ -86,6 +91,16 @@ l AS MATERIALIZED (SELECT u, v FROM o WHERE 100 * x >= 75 * (n + m - x)),
 """
 
 LLM_ORACLES: dict[str, str] = {
+    "op1_exact_topk_search": r"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q, len(embedding) AS d FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id AND a.d = b.d),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
     "op3_chat_formatting": r"""
 WITH m AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
