@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import chat, decontaminate, jaccard_join, language, packing, token_store, topk
+from spindle.llm import chat, decontaminate, jaccard_join, language, lattice, packing, token_store, topk
 from spindle.session import shared_dir
 
 
@@ -64,6 +64,10 @@ def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(_table(spark, sf_dir, "documents"), _remainder("doc_id", 7) == 2)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_token_id_output": op8_token_id_output,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
