@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import chat, decontaminate, jaccard_join, language, lattice, packing, token_store, topk
+from spindle.llm import chat, decontaminate, html, jaccard_join, language, lattice, packing, token_store, topk
 from spindle.session import shared_dir
 
 
@@ -48,6 +48,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the number and the ids of the items that it holds a passage of."""
     got = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -76,6 +80,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op2_language_id": op2_language_id,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_html_extraction": op4_html_extraction,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op8_token_id_output": op8_token_id_output,
