@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import chat, decontaminate, html, jaccard_join, language, lattice, packing, token_store, topk
+from spindle.llm import chat, decontaminate, html, jaccard_join, language, lattice, licenses, packing, token_store, topk
 from spindle.session import shared_dir
 
 
@@ -62,6 +62,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its licences and known sentences in order."""
+    got = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), F.array_join("sentences", ",").alias("sentences"))
+
+
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/spindle-ids-{uuid.uuid4().hex}"
     token_store.write_store(_table(spark, sf_dir, "documents"), path)
@@ -83,6 +89,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_html_extraction": op4_html_extraction,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_license_scans": op7_license_scans,
     "op8_token_id_output": op8_token_id_output,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
