@@ -1,14 +1,20 @@
 """Token ids by the tokenizers library, memoised by chunk.
 
 Both vocabularies split a text before any merge, and both always split where white space begins after a word. A text
-is cut at such places, each distinct chunk is encoded once, and the ids of its chunks are joined. Texts with white
-space other than spaces and line feeds are encoded whole. The memo is bounded and shared by nothing.
+is cut at such places, each distinct chunk is encoded once, and the ids of its chunks are joined. A chunk that is new
+is first cut before its closing punctuation and, for the vocabulary that knows no case, made lower case where that is
+plain (below U+0130), as its parts may be known. Texts with white space other than spaces and line feeds are encoded
+whole. The memo is bounded: when it is full a new one begins, which takes over from the last what still occurs.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import sys
+from array import array
+from itertools import compress
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +22,9 @@ import public_tokenizers
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 _BYTE_CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD_SPACE = re.compile(r"[^\S \n]")
+# Letters and digits, then punctuation to the chunk's end: both vocabularies split there too.
+_SPACED = re.compile(r" [^\W_]+")
+_TAIL = re.compile(r"([\n\0]?[^\W_]+)([.,;:!?]+)")
 
 
 def vocabulary(name: str) -> str:
@@ -25,23 +34,67 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. Special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str, spaces_matter: bool, memo: int = 120_000):
+    def __init__(self, path: str, spaces_matter: bool, memo: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaces_matter, self.limit = spaces_matter, memo
-        self.new: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token) if spaces_matter else token.endswith("</w>")
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. Chunks whose ids can be told apart afterwards are encoded many at a time."""
+        simple = [bool(_SPACED.fullmatch(c)) if self.spaces_matter else c.isalpha() and self._plain(c) for c in chunks]
+        many = list(compress(chunks, simple))
+        if len(many) < 64:
+            return [_serial(e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        out: list[bytes] = [b""] * len(chunks)
+        at = np.flatnonzero(simple)
+        groups = range(0, len(many), 256)
+        texts = [("" if self.spaces_matter else " ").join(many[i : i + 256]) for i in groups]
+        for i, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            if self.spaces_matter:  # a chunk's tokens have as many bytes as the chunk
+                upto = np.cumsum(self.sizes[ids])
+                ends = np.searchsorted(upto, np.cumsum([len(c.encode()) for c in many[i : i + 256]])) + 1
+            else:  # a run of letters ends with a token that ends words
+                ends = np.flatnonzero(self.sizes[ids]) + 1
+            data, start = ids.tobytes(), 0
+            if len(ends) != len(many[i : i + 256]) or ends[-1] != len(ids):
+                raise ValueError("chunks and tokens do not line up")
+            for k, end in zip(at[i : i + 256].tolist(), (4 * ends).tolist(), strict=True):
+                out[k] = data[start:end]
+                start = end
+        rest = [i for i, x in enumerate(simple) if not x]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = _serial(e.ids)
+        return out
 
     def _chunks(self, text: str) -> list[str]:
+        """Keys of a text's chunks, in order."""
+        if not self.spaces_matter:
+            return text.replace("\n", " ").split(" ")
+        if "\0" in text:
+            return ["\0" + text]
+        words = text.replace("\n", " \n").split(" ")
+        if len(words) == len(text.split()):  # single spaces and line feeds, all between words
+            words[0] = "\0" + words[0]
+            return words
         if _ODD_SPACE.search(text):
-            return [text]
-        return _BYTE_CHUNK.findall(text) if self.spaces_matter else text.replace("\n", " ").split(" ")
+            return ["\0" + text]
+        return [c[1:] if c[0] == " " and c[1:2] not in ("", " ", "\n") else "\0" + c for c in _BYTE_CHUNK.findall(text)]
+
+    def _chunk(self, key: str) -> str:
+        """The chunk of a key: a word alone stands for a space and the word, a line feed first or a mark for what follows."""
+        if not self.spaces_matter or key[0] == "\n":
+            return key
+        return key[1:] if key[0] == "\0" else " " + key
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text has none."""
@@ -54,27 +107,64 @@ class Encoder:
                 at, size = i + 1, 0
         return out
 
+    def _plain(self, chunk: str) -> bool:
+        """Whether lower case and composition leave each character one letter, or what else it is."""
+        return chunk.isascii() or max(chunk) < "\u0130"
+
+    def _parts(self, chunk: str) -> tuple[str, ...]:
+        if not self.spaces_matter:
+            if not self._plain(chunk):
+                return (chunk,)
+            chunk = chunk.lower()
+        m = _TAIL.fullmatch(chunk)
+        if not m:
+            return (chunk,)
+        return (m[1], "\0" + m[2]) if self.spaces_matter else m.groups()
+
     def _some(self, texts: list[str | None]) -> list[bytes]:
         chunks = [self._chunks(t or "") for t in texts]
-        if len(self.new) > self.limit:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        missing = set()
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        found, missing = [], set()
         for c in chunks:
-            missing.update(set(c).difference(new))
+            ids = list(map(known.get, c))
+            gaps = [i for i, x in enumerate(ids) if x is None]
+            missing.update([c[i] for i in gaps])
+            found.append((ids, gaps))
         if old:
-            for c in [c for c in missing if c in old]:
-                new[c] = old[c]
-                missing.discard(c)
-        todo = list(missing)
-        new.update(zip(todo, self._whole(todo), strict=True))
-        out = [b"".join(map(new.__getitem__, c)) for c in chunks]
-        for c in todo:
+            back = {c: x for c in missing if (x := old.get(c)) is not None}
+            known.update(back)
+            missing.difference_update(back)
+        parts = {c: self._parts(c) for c in missing}
+        need = {p for ps in parts.values() for p in ps if p not in known}
+        if old:
+            back = {p: x for p in need if (x := old.get(p)) is not None}
+            known.update(back)
+            need.difference_update(back)
+        todo = list(need)
+        known.update(zip(todo, self._whole([self._chunk(k) for k in todo]), strict=True))
+        for c, ps in parts.items():
+            if c not in known:
+                known[c] = b"".join([known[p] for p in ps])
+        out = []
+        for c, (ids, gaps) in zip(chunks, found, strict=True):
+            for i in gaps:
+                ids[i] = known[c[i]]
+            out.append(b"".join(ids))
+        for c in {*parts, *todo}:
             if len(c) > 64:
-                del new[c]
+                del known[c]
         return out
 
 
+def _serial(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 _held: dict[tuple, Encoder] = {}
 
 
@@ -82,5 +172,6 @@ def encoder(path: str, spaces_matter: bool) -> Encoder:
     """One encoder for each worker process."""
     key = (path, spaces_matter)
     if key not in _held:
+        gc.disable()  # nothing here makes cycles, and a full collection would walk the memo
         _held[key] = Encoder(path, spaces_matter)
     return _held[key]
