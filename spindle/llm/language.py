@@ -176,9 +176,9 @@ class Predictor:
         if len(self.index) > MEMO:
             self.reset()
         counts = [words_of(t) for t in texts]
-        new = set()
+        new, index = set(), self.index
         for c in counts:
-            new.update(c.keys() - self.index.keys())
+            new.update([w for w in c if w not in index])
         if new:
             self._learn(sorted(new))
         sums = np.zeros((len(texts), self.sums.shape[1]))
