@@ -34,7 +34,7 @@ from spindle.llm.components import components
 from spindle.llm.textscan import batches, shingle_sets
 from spindle.session import discard, materialise
 
-FLUSH = 1_000_000
+FLUSH = 500_000
 BLOOM_BITS = 26
 BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
 

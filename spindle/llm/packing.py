@@ -120,7 +120,7 @@ def evolve(sizes: list[int], capacity: int, seed: int, known: list[list[int]] |
 def _piece_task(path: str, capacity: int, end_id: int):
     def run(source):
         e, end = encoder(path, False), np.array([end_id], "<u4").tobytes()
-        for batch in batches(source, ["text"]):
+        for batch in batches(source, ["text"], keep_memos=True):
             rows = []
             for doc, x in zip(batch.column("doc_id").to_pylist(), e.encode(batch.column("text").to_pylist()), strict=True):
                 x += end

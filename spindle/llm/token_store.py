@@ -60,7 +60,7 @@ def _sample(texts: DataFrame, path: str, end_id: int | None) -> list[bytes]:
 
     def ids(source):
         e = encoder(path, True)
-        for batch in batches(source, ["text"]):
+        for batch in batches(source, ["text"], keep_memos=True):
             got = [x + _end(end_id) for x in e.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x for x in got if len(x) <= SAMPLE_BYTES], pa.binary())], ["ids"])
 
@@ -82,7 +82,7 @@ def _write_task(path: str, end_id: int | None, shared):
             row = [shard, block, ids[0], ids[-1], len(ids), sum(counts), dictionary_hash(d), np.array(ids, "<i8").tobytes(), index, b"".join(frames)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
-        for batch in batches(source, ["text"]):
+        for batch in batches(source, ["text"], keep_memos=True):
             doc_ids = batch.column("doc_id").to_pylist()
             for doc, x in zip(doc_ids, e.encode(batch.column("text").to_pylist()), strict=True):
                 x += end

@@ -34,7 +34,7 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. Special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str, spaces_matter: bool, memo: int = 250_000):
+    def __init__(self, path: str, spaces_matter: bool, memo: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,11 +100,17 @@ class Encoder:
         """The ids of each text; a null text has none."""
         out = []
         at, size = 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size > 500_000 or i == len(texts) - 1:
-                out += self._some(texts[at : i + 1])
-                at, size = i + 1, 0
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and collections would walk the memo
+        try:
+            for i, t in enumerate(texts):
+                size += len(t or "")
+                if size > 500_000 or i == len(texts) - 1:
+                    out += self._some(texts[at : i + 1])
+                    at, size = i + 1, 0
+        finally:
+            if collecting:
+                gc.enable()
         return out
 
     def _plain(self, chunk: str) -> bool:
@@ -168,10 +174,14 @@ def _serial(ids: list[int]) -> bytes:
 _held: dict[tuple, Encoder] = {}
 
 
+def forget() -> None:
+    """Drops all encoders of this process."""
+    _held.clear()
+
+
 def encoder(path: str, spaces_matter: bool) -> Encoder:
     """One encoder for each worker process."""
     key = (path, spaces_matter)
     if key not in _held:
-        gc.disable()  # nothing here makes cycles, and a full collection would walk the memo
         _held[key] = Encoder(path, spaces_matter)
     return _held[key]
