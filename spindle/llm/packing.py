@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.textscan import batches
-from spindle.llm.tokens import WORD_VOCABULARY, encoder, vocabulary
+from spindle.llm.tokens import BATCH_BYTES, WORD_VOCABULARY, encoder, vocabulary
 from spindle.session import materialise
 
 CAPACITY, END_ID = 2048, 0
@@ -120,9 +120,9 @@ def evolve(sizes: list[int], capacity: int, seed: int, known: list[list[int]] |
 def _piece_task(path: str, capacity: int, end_id: int):
     def run(source):
         e, end = encoder(path, False), np.array([end_id], "<u4").tobytes()
-        for batch in batches(source, ["text"], keep_memos=True):
+        for batch in batches(source, ["text"], BATCH_BYTES, keep_memos=True):
             rows = []
-            for doc, x in zip(batch.column("doc_id").to_pylist(), e.encode(batch.column("text").to_pylist()), strict=True):
+            for doc, x in zip(batch.column("doc_id").to_pylist(), e.encode(batch.column("text")), strict=True):
                 x += end
                 for k, at in enumerate(range(0, len(x), 4 * capacity)):
                     part = x[at : at + 4 * capacity]

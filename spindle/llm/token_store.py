@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm.textscan import batches
-from spindle.llm.tokens import BYTE_VOCABULARY, encoder, vocabulary
+from spindle.llm.tokens import BATCH_BYTES, BYTE_VOCABULARY, encoder, vocabulary
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 64 << 10, 112_640
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
@@ -60,8 +60,8 @@ def _sample(texts: DataFrame, path: str, end_id: int | None) -> list[bytes]:
 
     def ids(source):
         e = encoder(path, True)
-        for batch in batches(source, ["text"], keep_memos=True):
-            got = [x + _end(end_id) for x in e.encode(batch.column("text").to_pylist())]
+        for batch in batches(source, ["text"], BATCH_BYTES, keep_memos=True):
+            got = [x + _end(end_id) for x in e.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x in got if len(x) <= SAMPLE_BYTES], pa.binary())], ["ids"])
 
     rows = wanted.mapInArrow(ids, "ids binary").limit(2 * SAMPLE_DOCS).toArrow()
@@ -82,9 +82,9 @@ def _write_task(path: str, end_id: int | None, shared):
             row = [shard, block, ids[0], ids[-1], len(ids), sum(counts), dictionary_hash(d), np.array(ids, "<i8").tobytes(), index, b"".join(frames)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
-        for batch in batches(source, ["text"], keep_memos=True):
+        for batch in batches(source, ["text"], BATCH_BYTES, keep_memos=True):
             doc_ids = batch.column("doc_id").to_pylist()
-            for doc, x in zip(doc_ids, e.encode(batch.column("text").to_pylist()), strict=True):
+            for doc, x in zip(doc_ids, e.encode(batch.column("text")), strict=True):
                 x += end
                 if frames and (len(frames) >= BLOCK_DOCS or size + len(x) > BLOCK_BYTES):
                     yield flush()

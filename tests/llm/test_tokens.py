@@ -30,7 +30,7 @@ def plain(name, text):
 @settings(max_examples=300, deadline=None)
 @given(texts=st.lists(st.one_of(st.text(ALPHABET, max_size=40), st.text(max_size=20), st.none()), max_size=5))
 def test_chunks_are_exact(name, texts):
-    texts = [*texts, "it's  a\n\n test  ", "<|endoftext|> x<|startoftext|>", " ", "\n", "", "The end. the END.. 3.5, Ünï!? don't; 'S. İX. ſ. K. x²:", "\0a b\0. \0", "a \n b", "a\n\nb c", " a b", "a b\n", "\nx."]
+    texts = [*texts, "it's  a\n\n test  ", "<|endoftext|> x<|startoftext|>", " ", "\n", "", "The end. the END.. 3.5, Ünï!? don't; 'S. İX. ſ. K. x²:", "aİ. İ,, \u0301a\u00a0 b\u2003 c\t d\x85\n e", "été\u3000 x Жук. жук,", "\0a b\0. \0", "a \n b", "a\n\nb c", " a b", "a b\n", "\nx."]
     assert CHUNKED[name].encode(texts) == [plain(name, t).tobytes() for t in texts]
 
 
