@@ -93,6 +93,12 @@ class Encoder:
         for token, i in vocabulary.items():
             self.sizes[i] = len(token) if spaces_matter else token.endswith("</w>")
 
+    def _plain(self, texts: list[str], some: int):
+        """The ids of each text; the library's own results, far larger than the ids, are held for ``some`` texts at a time."""
+        for i in range(0, len(texts), some):
+            for e in self.tokenizer.encode_batch_fast(texts[i : i + some], add_special_tokens=False):
+                yield np.array(e.ids, "<u4")
+
     def _many(self, chunks: pa.Array) -> pa.Array:
         """The ids of simple chunks, encoded many at a time."""
         if not len(chunks):
@@ -100,7 +106,7 @@ class Encoder:
         bounds, data = _buffers(chunks if self.spaces_matter else _after_space(chunks))
         some = np.append(bounds[:-1:256], bounds[-1]).tolist()
         texts = [data[a:b].tobytes().decode() for a, b in zip(some, some[1:], strict=False)]
-        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        ids = np.concatenate(list(self._plain(texts, 32)))
         if self.spaces_matter:  # a chunk's tokens have as many bytes as the chunk
             upto = np.cumsum(self.sizes[ids])
             ends = np.searchsorted(upto, bounds[1:]) + 1
@@ -115,7 +121,7 @@ class Encoder:
     def _encode(self, chunks: pa.Array) -> pa.Array:
         """The ids of each chunk by the library."""
         simple = pc.match_substring_regex(chunks, self.simple).to_numpy(zero_copy_only=False)
-        rest = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(chunks.filter(pa.array(~simple)).to_pylist(), add_special_tokens=False)]
+        rest = list(self._plain(chunks.filter(pa.array(~simple)).to_pylist(), 4096))
         singly = _binary(4 * np.array([len(x) for x in rest], np.int64), b"".join(x.tobytes() for x in rest))
         at = np.where(simple, np.cumsum(simple) - 1, simple.sum() + np.cumsum(~simple) - 1)
         return pa.concat_arrays([self._many(chunks.filter(pa.array(simple))), singly]).take(pa.array(at))
