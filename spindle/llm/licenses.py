@@ -99,7 +99,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("all-rights-reserved", ("reserved",)),
 )
 
-_ANCHOR = re.compile(r"licen[cs]e|permission|redistribut|free software|as is|rights reserved|public domain|waived|obtain a copy|warrant|endorse|any later version", re.I)
+# A text without any of these has no known sentence. Between words stands whatever normalising makes a space.
+_ANCHOR = re.compile(r"licen[cs]e|permission|redistribut|free software|as is|rights reserved|public domain|waived|obtain a copy|warrant|endorse|any later version".replace(" ", r"[\W_]+"), re.I)
 _OTHER = re.compile(r"[^\w.+-]+|(?<![0-9])\.|\.(?![0-9])|(?<!\w)[+-]+|[+-]+(?!\w)|_+")
 
 

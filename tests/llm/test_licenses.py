@@ -39,6 +39,17 @@ def test_rows(spark):
     assert scan_licenses(d.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("between", ["\n", "  ", "\n * ", "\r\n# ", "\u00a0", "_", ". "])
+def test_broken_lines(spark, between):
+    """Every form of every sentence, alone in its text and broken at every space, through the operator."""
+    forms = [(name, f.replace(" ", between)) for name, all_forms in SENTENCES.items() for f in all_forms]
+    rows = [(i, f"Copyright 2020 x{between}{f}") for i, (_, f) in enumerate(forms)]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alone = {wanted[0]: name for name, wanted in reversed(RULES) if len(wanted) == 1}
+    for i, (name, _) in enumerate(forms):
+        assert got[i].sentences == [name] and got[i].licenses == ([alone[name]] if name in alone else [])
+
+
 def test_query(spark, sf):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     plain = {"MIT": "Released under the MIT License", "Apache-2.0": "Licensed under the Apache License, Version 2.0", "GPL-3.0-only": "licensed under the GNU General Public License, version 3", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0", "all-rights-reserved": "All rights reserved"}
