@@ -3,9 +3,13 @@
 A document is the average of the embeddings of its subwords: the words (runs of letters, lower case) between marks,
 and all their byte n-grams of two to five bytes, hashed to ``BUCKETS`` places. Embeddings and classifier are trained
 together by stochastic gradient descent in numpy, on at most ``SAMPLE_A_LANGUAGE`` documents of each of at most
-``LANGUAGES`` languages. A part of the sample is held back: on it a temperature is fitted to the softmax, and a
-threshold on its probability below which a document is rejected, such that ``REJECT_SHARE`` of the documents held back
-fall below it, and at most a tenth (``REJECT_OVER_CHANCE``) of the way from chance to certainty: mixed texts stay.
+``LANGUAGES`` languages. A part of the sample is held back (of few rows, each part in turn). The bias is set such that
+texts of random subwords are of no language, and a temperature of the softmax is fitted to documents held back and such
+texts. Documents with a probability below a threshold are rejected. It is the largest that rejects at most
+``REJECT_SHARE`` of the documents held back and ``REJECT_MIXED`` of even mixtures of two of them in different languages,
+as mixed texts stay, but no larger than needed to reject ``CAUGHT`` of the negatives: texts of random subwords, and
+documents held back under models that have not learnt their language (surety above chance, carried over to the number
+of languages). With one language nothing can be told, and no text with letters goes.
 
 As prediction is linear up to the softmax, a word adds a fixed vector to a document's scores. Every worker keeps those
 of the words that it has met lately.
@@ -15,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from spindle.session import materialise
 
 SAMPLE_A_LANGUAGE, LANGUAGES = 800, 64
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 4, 16, 2.0
-HELD_BACK, REJECT_SHARE, REJECT_OVER_CHANCE = 5, 0.0005, 0.1
+HELD_BACK, FOLDS, REJECT_SHARE, REJECT_MIXED, CAUGHT = 5, 4, 0.005, 0.05, 0.99
 MEMO = 150_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -93,6 +97,7 @@ class Model:
     bias: np.ndarray
     temperature: float
     threshold: float
+    rejected: dict = field(default_factory=dict)  # the share of each kind of text that calibration saw below the threshold
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = (logits + self.bias) / self.temperature
@@ -100,22 +105,15 @@ class Model:
         return z / z.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model | None:
-    """Fits a model to ``(lang, places, shares)``; none without rows. Rows come in a fixed order."""
-    rows = [r for r in rows if len(r[1])]
-    langs = sorted({r[0] for r in rows})
-    if not langs:
-        return None
-    k, rng = len(langs), np.random.default_rng(seed)
-    label = np.array([langs.index(r[0]) for r in rows])
-    held = np.arange(len(rows)) % HELD_BACK == 0 if len(rows) >= 20 * k else np.zeros(len(rows), bool)
+def _fitted(rows: list, label: np.ndarray, k: int, which: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of places and biases of ``k`` classes, from the rows ``which``."""
+    rng = np.random.default_rng(seed)
     emb, w, bias = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, k), np.float32), np.zeros(k, np.float32)
     w[:] = rng.normal(0, 0.1, w.shape)
-    fit = np.flatnonzero(~held)
-    steps = EPOCHS * -(-len(fit) // BATCH)
+    steps = EPOCHS * -(-len(which) // BATCH)
     step = 0
     for _ in range(EPOCHS):
-        order = rng.permutation(fit)
+        order = rng.permutation(which)
         for a in range(0, len(order), BATCH):
             part = order[a : a + BATCH]
             rate = RATE * (1 - step / steps)
@@ -134,17 +132,89 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Mode
             bias -= rate * p.mean(axis=0)
             # Embeddings see tiny shares of the gradient; their rate is that much larger.
             np.add.at(emb, place, -(rate * 20) * back)
-    scores = (emb @ w).astype(np.float64)
-    model = Model(langs, scores, bias.astype(np.float64), 1.0, 0.0)
-    at = np.flatnonzero(held)
-    if len(at) and k > 1:
-        logits = np.stack([(scores[rows[i][1]] * rows[i][2][:, None]).sum(axis=0) for i in at])
-        own = np.arange(len(at)), label[at]
-        tries = np.exp(np.linspace(np.log(0.05), np.log(20), 60))
-        loss = [-np.log(np.maximum(Model(langs, scores, model.bias, t, 0).probabilities(logits)[own], 1e-12)).mean() for t in tries]
-        model.temperature = float(tries[int(np.argmin(loss))])
-        top = model.probabilities(logits).max(axis=1)
-        model.threshold = float(min((1 + (k - 1) * REJECT_OVER_CHANCE) / k, np.quantile(top, REJECT_SHARE)))
+    return (emb @ w).astype(np.float64), bias.astype(np.float64)
+
+
+def _logits(rows: list, which: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    return np.stack([(scores[rows[i][1]] * rows[i][2][:, None]).sum(axis=0) for i in which])
+
+
+def _negatives(rows: list, label: np.ndarray, k: int, held: np.ndarray, seed: int) -> np.ndarray:
+    """How much surer than chance, from 0 to 1, models are of the documents held back in languages that they have not learnt."""
+    groups, out = min(k, FOLDS), []
+    for g in range(groups):
+        own = np.arange(k) % groups != g
+        n = int(own.sum())
+        at = held[~own[label[held]]]
+        if n < 2 or not len(at):
+            continue
+        of = np.cumsum(own) - 1
+        learnt = own[label]
+        learnt[held] = False
+        scores, bias = _fitted(rows, of[label], n, np.flatnonzero(learnt), seed)
+        mine = held[own[label[held]]]
+        model = Model([""] * n, scores, bias, 1.0, 0.0)
+        if len(mine):
+            _calibrate(model, _logits(rows, mine, scores), of[label[mine]], _noise(rows, mine, scores, seed))
+        out.append((model.probabilities(_logits(rows, at, scores)).max(axis=1) * n - 1) / (n - 1))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _noise(rows: list, which: np.ndarray, scores: np.ndarray, seed: int) -> np.ndarray:
+    """Logits of texts like the rows ``which`` whose subwords are drawn at random."""
+    rng = np.random.default_rng(seed)
+    return _logits([("", rng.integers(0, BUCKETS, len(rows[i][1])), rows[i][2]) for i in which], np.arange(len(which)), scores)
+
+
+def _calibrate(model: Model, logits: np.ndarray, label: np.ndarray, noise: np.ndarray) -> None:
+    """Sets the bias such that noise is of no language, and the temperature to what fits documents and noise best."""
+    model.bias = -noise.mean(axis=0)
+    own, best = (np.arange(len(label)), label), np.inf
+    for t in np.exp(np.linspace(np.log(0.05), np.log(20), 60)):
+        tried = Model(model.langs, model.scores, model.bias, t, 0.0)
+        loss = -np.log(np.maximum(tried.probabilities(logits)[own], 1e-12)).mean() - np.log(np.maximum(tried.probabilities(noise), 1e-12)).mean()
+        if loss < best:
+            best, model.temperature = loss, float(t)
+
+
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model | None:
+    """Fits a model to ``(lang, places, shares)``; none without rows. Rows come in a fixed order."""
+    rows = [r for r in rows if len(r[1])]
+    langs = sorted({r[0] for r in rows})
+    if not langs:
+        return None
+    k, every = len(langs), np.arange(len(rows))
+    label = np.array([langs.index(r[0]) for r in rows])
+    few = len(rows) < 20 * k
+    # Of few rows each is held back once, from a model of its own, and the model returned learns from all.
+    parts = [every[every % HELD_BACK == p] for p in range(HELD_BACK if few else 1)]
+    scores, bias = _fitted(rows, label, k, every if few else np.setdiff1d(every, parts[0]), seed)
+    model = Model(langs, scores, bias, 1.0, 0.0)
+    if k == 1:
+        return model
+    logits, at = [], []
+    for part in parts:
+        rest = np.setdiff1d(every, part)
+        if len(part) and len(rest):
+            s = _fitted(rows, label, k, rest, seed)[0] if few else scores
+            logits.append(_logits(rows, part, s) - (_noise(rows, part, s, seed).mean(axis=0) if few else 0))
+            at.append(part)
+    if not at:
+        return model
+    logits, at = np.concatenate(logits), np.concatenate(at)
+    drawn = _noise(rows, at, scores, seed)
+    if few:  # each part's logits are over its own model's noise
+        logits = logits + drawn.mean(axis=0)
+    _calibrate(model, logits, label[at], drawn)
+    other = np.random.default_rng(seed).permutation(len(at))
+    mixed = label[at] != label[at[other]]
+    top = model.probabilities(logits).max(axis=1)
+    both = model.probabilities(((logits + logits[other]) / 2)[mixed]).max(axis=1) if mixed.any() else top
+    noise = model.probabilities(drawn).max(axis=1)
+    foreign = (1 + (k - 1) * _negatives(rows, label, k, at if not few else parts[0], seed)) / k
+    bad = np.quantile(np.concatenate([noise, foreign]), CAUGHT)
+    model.threshold = float(min(np.quantile(top, REJECT_SHARE), np.quantile(both, REJECT_MIXED), bad))
+    model.rejected = {name: float((x < model.threshold).mean()) for name, x in (("clean", top), ("mixed", both), ("noise", noise), ("foreign", foreign)) if len(x)}
     return model
 
 

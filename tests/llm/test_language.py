@@ -51,6 +51,31 @@ def test_edges(spark):
     assert {r.lang_pred for r in language.predict(d, one).collect()} == {"de", "und"}
 
 
+FOREIGN = [
+    "これは日本語の文章です。今日は天気がいいですね。", "Это предложение написано на русском языке и совсем не похоже на другие", "Dit is een zin in het Nederlands die niemand hier geleerd heeft en die lang is",
+    "To jest zdanie w języku polskim, którego model nigdy nie widział", "Bu cümle Türkçe yazılmıştır ve model onu daha önce görmedi", "Αυτή είναι μια ελληνική πρόταση", "Tämä lause on kirjoitettu suomeksi eikä malli tunne sitä",
+]
+
+
+def test_rejection(spark, sf):
+    """Most foreign texts and letter junk go, next to no text of a learnt language does."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null")
+    model = language.fit(docs)
+    rng = np.random.default_rng(1)
+    junk = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxyz"), rng.integers(3, 10))) for _ in range(40)) for _ in range(50)]
+    p = language.Predictor(model)
+    assert np.mean(p.predict(junk)[2]) > 0.8 and np.mean(p.predict(FOREIGN)[2]) > 0.5
+    assert np.mean(p.predict([r.text for r in docs.collect()])[2]) <= 0.01
+    assert model.rejected["noise"] > 0.9 and model.rejected["clean"] <= 0.01 and model.rejected["mixed"] <= 0.06
+
+
+def test_few_rows_have_a_threshold(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").orderBy("doc_id").limit(70).collect()
+    model = language.train([(r.lang, *language.features(r.text)) for r in rows])
+    assert len(rows) < 20 * len(model.langs) and model.threshold > 1 / len(model.langs)
+    assert not any(language.Predictor(model).predict([r.text for r in rows if len(r.text.split()) > 20])[2])
+
+
 def test_sample_is_bounded(spark, sf, monkeypatch):
     seen = []
     monkeypatch.setattr(language, "train", lambda rows: seen.extend(rows))
