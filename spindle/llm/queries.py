@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm import chat, decontaminate, html, jaccard_join, language, lattice, licenses, packing, token_store, topk
-from spindle.session import shared_dir
+from spindle.session import register, shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,7 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/spindle-ids-{uuid.uuid4().hex}"
+    register(path)
     token_store.write_store(_table(spark, sf_dir, "documents"), path)
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 

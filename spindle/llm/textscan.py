@@ -168,3 +168,6 @@ def batches(source, columns: list[str], limit: int = 2 << 20, keep_memos: bool =
             to = max(at + 1, int(np.searchsorted(total, total[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    # An idle worker should hold little next to those that work.
+    batch = size = total = None
+    tidy(keep_memos)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from spindle.llm.textscan import batches
 from spindle.llm.tokens import BATCH_BYTES, BYTE_VOCABULARY, encoder, vocabulary
+from spindle.session import small_batches
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 64 << 10, 112_640
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
@@ -64,7 +65,8 @@ def _sample(texts: DataFrame, path: str, end_id: int | None) -> list[bytes]:
             got = [x + _end(end_id) for x in e.encode(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([x for x in got if len(x) <= SAMPLE_BYTES], pa.binary())], ["ids"])
 
-    rows = wanted.mapInArrow(ids, "ids binary").limit(2 * SAMPLE_DOCS).toArrow()
+    with small_batches(texts.sparkSession):
+        rows = wanted.mapInArrow(ids, "ids binary").limit(2 * SAMPLE_DOCS).toArrow()
     return sorted(x.as_py() for x in rows.column("ids"))
 
 
@@ -103,7 +105,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "", id_col: str = "
     """Encodes every whole text and writes the store at ``path``.
 
     Documents are in ascending order of id, null ids first, repeated ids by a hash of their texts. A null text is an
-    empty one. The dictionary is trained on a bounded sample; every document is stored, whatever its length.
+    empty one. The dictionary is trained on a bounded sample; every document is stored, whatever its length. Fewer than
+    16 documents in the sample train no dictionary, and frames are compressed without one. No rows give a store of no
+    documents. Other columns are ignored.
     """
     spark = docs.sparkSession
     path, tokenizer = path.rstrip("/"), tokenizer or vocabulary(BYTE_VOCABULARY)
@@ -115,7 +119,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str = "", id_col: str = "
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     dealt = texts.repartitionByRange(n, *order).sortWithinPartitions(*order)
     schema = "shard int, block int, first_id long, last_id long, n_docs int, n_ids long, dictionary_hash long, doc_ids binary, index binary, frames binary"
-    dealt.mapInArrow(_write_task(tokenizer, end_id, shared), schema).write.option("compression", "none").parquet(f"{path}/shards")
+    with small_batches(spark):
+        dealt.mapInArrow(_write_task(tokenizer, end_id, shared), schema).write.option("compression", "none").parquet(f"{path}/shards")
     # One row a shard: as many as the write had tasks.
     totals = spark.read.parquet(f"{path}/shards").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     starts, at = [], 0

@@ -5,7 +5,7 @@ is cut before each space or line feed that follows anything but white space; whe
 a longer chunk is as right. The distinct chunks of a batch are looked up in a memo, new ones are encoded, and the ids
 of all chunks are gathered back in order. A chunk of letters, digits and then punctuation is two chunks, as both
 vocabularies split there too, and for the vocabulary that knows no case it is made lower case where that is plain
-(below U+0130). The memo is bounded: when it is full, the half that was not used for longest goes.
+(below U+0130). The memo is bounded in chunks and bytes: when it is full, what was not used for longest goes.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from spindle.llm.textscan import raw
 
 BYTE_VOCABULARY, WORD_VOCABULARY = "byte_bpe_50k.json", "word_bpe_49k.json"
 #: Bytes of text that one call of ``encode`` should get, and chunks that are gathered at once.
-BATCH_BYTES, STEP = 8 << 20, 2_000_000
+BATCH_BYTES, STEP = 4 << 20, 1_000_000
+#: Chunks in the memo of a worker, and their bytes with ids: what is used for longest goes above either.
+MEMO, MEMO_BYTES = 300_000, 16 << 20
 #: Longer chunks are not kept in the memo.
 KEPT_BYTES = 64
 _WHITE = np.zeros(256, bool)
@@ -77,7 +79,7 @@ def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids. Special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str, spaces_matter: bool, memo: int = 800_000):
+    def __init__(self, path: str, spaces_matter: bool, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -100,7 +102,7 @@ class Encoder:
                 yield np.array(e.ids, "<u4")
 
     def _many(self, chunks: pa.Array) -> pa.Array:
-        """The ids of simple chunks, encoded many at a time."""
+        """The ids of simple chunks, encoded many at a time; each by itself if tokens and chunks do not line up."""
         if not len(chunks):
             return self.ids.slice(0, 0)
         bounds, data = _buffers(chunks if self.spaces_matter else _after_space(chunks))
@@ -115,14 +117,18 @@ class Encoder:
             ends = np.flatnonzero(self.sizes[ids]) + 1
             fits = len(ends) == len(chunks) and ends[-1] == len(ids)
         if not fits:
-            raise ValueError("chunks and tokens do not line up")
+            return self._singly(chunks)
         return _binary(4 * np.diff(ends, prepend=0), ids.tobytes())
 
+    def _singly(self, chunks: pa.Array) -> pa.Array:
+        """The ids of chunks of any kind, each a text of its own."""
+        got = list(self._plain(chunks.to_pylist(), 2048))
+        return _binary(4 * np.array([len(x) for x in got], np.int64), b"".join(x.tobytes() for x in got))
+
     def _encode(self, chunks: pa.Array) -> pa.Array:
         """The ids of each chunk by the library."""
         simple = pc.match_substring_regex(chunks, self.simple).to_numpy(zero_copy_only=False)
-        rest = list(self._plain(chunks.filter(pa.array(~simple)).to_pylist(), 4096))
-        singly = _binary(4 * np.array([len(x) for x in rest], np.int64), b"".join(x.tobytes() for x in rest))
+        singly = self._singly(chunks.filter(pa.array(~simple)))
         at = np.where(simple, np.cumsum(simple) - 1, simple.sum() + np.cumsum(~simple) - 1)
         return pa.concat_arrays([self._many(chunks.filter(pa.array(simple))), singly]).take(pa.array(at))
 
@@ -142,8 +148,11 @@ class Encoder:
         self.words = pa.concat_arrays([self.words, new.filter(short)])
         self.ids = pa.concat_arrays([self.ids, got.filter(short)])
         self.used = np.append(self.used, np.full(len(self.words) - len(self.used), self.round))
-        if len(self.words) > self.limit:
-            keep = np.sort(np.argsort(self.used, kind="stable")[-(self.limit // 2) :])
+        held = _buffers(self.words)[0][-1] + _buffers(self.ids)[0][-1]
+        if len(self.words) > self.limit or held > MEMO_BYTES:
+            # Half of what fits stays, in numbers of chunks as long as these.
+            most = min(self.limit, int(len(self.words) * min(1.0, MEMO_BYTES / max(1, held))))
+            keep = np.sort(np.argsort(self.used, kind="stable")[len(self.words) - most // 2 :])
             self.words, self.ids, self.used = self.words.take(pa.array(keep)), self.ids.take(pa.array(keep)), self.used[keep]
         return out
 
