@@ -1,12 +1,16 @@
 """Best-fit packing of tokenised documents into sequences by a grouping genetic algorithm.
 
 A document is cut only where it is longer than a sequence: into whole sequences, which need no packing, and a rest.
-The rests and the shorter documents are dealt into islands of bounded size. An island keeps a few populations of
-packings. A child takes whole well-filled sequences of one parent, keeps those of the other that share no document
-with them, and places the displaced documents by best fit. After every generation the best packing of a population
-moves to the next one. Then the islands' best sequences stay as they are, and the poorly filled ones migrate, as whole
-sequences, to islands of the next level, where they are part of the first packing: so no level can need more
-sequences than came in.
+The rests and the shorter documents are dealt into districts of about ``DISTRICT_ITEMS`` pieces. Every district is
+packed by ``ISLANDS`` islands, each a row of its own, so that islands of one district run as different tasks. An
+island begins with packings by first fit in random orders. A child takes whole well-filled sequences of one parent,
+keeps those of the other that share no piece with them, and places what is displaced by best fit,
+large pieces first. After every epoch the best packing of an island migrates to the next island of its district, through
+a shuffle, and replaces the worst one there. At the end the best packing of all islands is the district's.
+
+Then well-filled sequences stay as they are, and the poorly filled ones of all districts go, whole, to the districts
+of the next level, where the packing that they came in is one of the first ones: so no level can need more sequences
+than came in. Levels end when one district is left, or when a level saved less than ``LEAST_GAIN`` of its sequences.
 """
 
 from __future__ import annotations
@@ -15,24 +19,48 @@ import bisect
 import math
 import random
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.textscan import batches
 from spindle.llm.tokens import BATCH_BYTES, WORD_VOCABULARY, encoder, vocabulary
-from spindle.session import materialise
+from spindle.session import discard, keep, materialise, scratch
 
 CAPACITY, END_ID = 2048, 0
-ISLAND_ITEMS = 4000
-POPULATIONS, MEMBERS, GENERATIONS = 2, 3, 6
-WELL_FILLED = 0.995
+DISTRICT_ITEMS = 4000
+ISLANDS, MEMBERS, EPOCHS, GENERATIONS = 2, 4, 2, 4
+WELL_FILLED, LEAST_GAIN = 0.995, 0.001
+
+
+class Packing:
+    """Bins of items, and how much each holds."""
+
+    def __init__(self, sizes: list[int], bins: list[list[int]]):
+        self.bins, self.fills = bins, [sum(map(sizes.__getitem__, b)) for b in bins]
+
+    def fitness(self) -> tuple[int, float]:
+        """Fewer bins first, then fuller ones: larger is better."""
+        return -len(self.bins), sum(f * f for f in self.fills)
 
+    def places(self, n: int) -> np.ndarray:
+        """The bin of each item."""
+        out = np.zeros(n, np.int32)
+        for k, b in enumerate(self.bins):
+            out[b] = k
+        return out
 
-def best_fit(sizes: list[int], order: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+
+def from_places(sizes: list[int], places: np.ndarray) -> Packing:
+    by = np.argsort(places, kind="stable")
+    edge = np.flatnonzero(np.diff(places[by])) + 1
+    return Packing(sizes, [x.tolist() for x in np.split(by, edge)] if len(places) else [])
+
+
+def best_fit(sizes: list[int], order: Iterable[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Places items in their order into the fullest bin with room, or a new one. ``bins`` is extended."""
     room = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
     for i in order:
@@ -49,6 +77,29 @@ def best_fit(sizes: list[int], order: list[int], bins: list[list[int]], capacity
     return bins
 
 
+def first_fit(sizes: list[int], order: list[int], capacity: int) -> list[list[int]]:
+    """Places items in their order into the first bin with room: a tree has the most room below each of its nodes."""
+    leaves = 1 << max(0, len(order) - 1).bit_length()
+    most, bins = [capacity] * (2 * leaves), []
+    for i in order:
+        size, at = sizes[i], 1
+        while at < leaves:
+            at *= 2
+            if most[at] < size:
+                at += 1
+        if at - leaves == len(bins):
+            bins.append([])
+        bins[at - leaves].append(i)
+        most[at] -= size
+        while at > 1:
+            at //= 2
+            now = max(most[2 * at], most[2 * at + 1])
+            if most[at] == now:
+                break
+            most[at] = now
+    return bins
+
+
 def least_bins(sizes: list[int], capacity: int) -> int:
     """A lower bound on bins (Martello and Toth's L2): what large items leave free cannot hold too much of the middling ones."""
     x = np.sort(np.array(sizes, np.int64))
@@ -62,59 +113,55 @@ def least_bins(sizes: list[int], capacity: int) -> int:
     return int((len(x) - half + more).max())
 
 
-def fitness(sizes: list[int], bins: list[list[int]], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller ones: larger is better."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
-
-
-def cross(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
     """A child of ``a`` with some well-filled bins of ``b``."""
-    full = [x for x in b if sum(sizes[i] for i in x) >= WELL_FILLED * capacity] or b
-    taken = [list(x) for x in rng.sample(full, max(1, len(full) // 2))]
+    full = [k for k, f in enumerate(b.fills) if f >= WELL_FILLED * capacity] or range(len(b.bins))
+    taken = [list(b.bins[k]) for k in rng.sample(full, rng.randint(1, len(full)))]
     inside = {i for x in taken for i in x}
     loose = []
-    for x in a:
-        if inside.isdisjoint(x) and sum(sizes[i] for i in x) >= 0.9 * capacity:
+    for x, f in zip(a.bins, a.fills, strict=True):
+        if f >= WELL_FILLED * capacity and inside.isdisjoint(x):
             taken.append(list(x))
         else:
             loose += [i for i in x if i not in inside]
     loose.sort(key=lambda i: (-sizes[i], i))
-    return best_fit(sizes, loose, taken, capacity)
+    return Packing(sizes, best_fit(sizes, loose, taken, capacity))
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, known: list[list[int]] | None = None) -> list[list[int]]:
-    """The best packing that the island finds; stops at once when the lower bound is met."""
-    n, rng = len(sizes), random.Random(seed)
-    if not n:
-        return []
-    bound = least_bins(sizes, capacity)
-    falling = sorted(range(n), key=lambda i: (-sizes[i], i))
-    best = best_fit(sizes, falling, [], capacity)
-    if known and fitness(sizes, known, capacity) > fitness(sizes, best, capacity):
-        best = known
-    if len(best) == bound:
-        return best
-    people = []
-    for _ in range(POPULATIONS):
-        people.append([best])
-        while len(people[-1]) < MEMBERS:
-            noise = sorted(range(n), key=lambda i: -sizes[i] * rng.uniform(0.85, 1.15))
-            people[-1].append(best_fit(sizes, noise, [], capacity))
-    score = lambda x: fitness(sizes, x, capacity)
+def settle(sizes: list[int], capacity: int, rng: random.Random, known: list[Packing]) -> list[Packing]:
+    """An island's first packings: those known, and first fit in random orders."""
+    out = list(known[:MEMBERS])
+    while len(out) < MEMBERS:
+        out.append(Packing(sizes, first_fit(sizes, rng.sample(range(len(sizes)), len(sizes)), capacity)))
+    return out
+
+
+def epoch(people: list[Packing], sizes: list[int], capacity: int, rng: random.Random, bound: int) -> list[Packing]:
+    """Some generations of an island, the best first; ends early where a child needs no more than the lower bound."""
+    people = sorted(people, key=Packing.fitness, reverse=True)
     for _ in range(GENERATIONS):
-        for p in people:
-            a, b = rng.sample(range(len(p)), 2)
-            p.append(cross(p[a], p[b], sizes, capacity, rng))
-            p.append(cross(p[b], p[a], sizes, capacity, rng))
-            p.sort(key=score, reverse=True)
-            del p[MEMBERS:]
-        elite = [p[0] for p in people]
-        for i, p in enumerate(people):
-            p[-1] = elite[i - 1]
-        best = max([best, *elite], key=score)
-        if len(best) == bound:
+        a, b = rng.sample(people, 2)
+        people += [cross(a, b, sizes, capacity, rng), cross(b, a, sizes, capacity, rng)]
+        people.sort(key=Packing.fitness, reverse=True)
+        del people[MEMBERS:]
+        if len(people[0].bins) <= bound:
             break
-    return best
+    return people
+
+
+def evolve(sizes: list[int], capacity: int, seed: int = 7, epochs: int = EPOCHS, islands: int = ISLANDS) -> list[list[int]]:
+    """The same algorithm for one district at hand, without Spark."""
+    if not sizes:
+        return []
+    bound, rngs = least_bins(sizes, capacity), [random.Random(f"{seed}/{i}") for i in range(islands)]
+    held = [settle(sizes, capacity, r, []) for r in rngs]
+    for k in range(epochs):
+        if k:
+            elite = [p[0] for p in held]
+            for i, p in enumerate(held):
+                p[-1] = elite[i - 1]
+        held = [epoch(p, sizes, capacity, r, bound) for p, r in zip(held, rngs, strict=True)]
+    return max((p[0] for p in held), key=Packing.fitness).bins
 
 
 def _piece_task(path: str, capacity: int, end_id: int):
@@ -134,65 +181,130 @@ def _piece_task(path: str, capacity: int, end_id: int):
     return run
 
 
+ITEM = ["doc_id", "piece", "start", "length", "ids_crc32"]
+DISTRICT = "district long, doc_id array<long>, piece array<int>, start array<long>, length array<long>, ids_crc32 array<long>, known binary"
+PEOPLE = "district long, island int, bound int, sizes binary, people array<binary>"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, filled long"
 
 
-def _island_task(capacity: int, level: int):
-    """Packs a partition's pieces; ``sequence_id`` of the level before, if any, groups the pieces of a migrated sequence."""
+def _district(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One row for a district, its pieces in a fixed order; ``known`` numbers the sequences they came in, if any."""
+    first = table.column("sequence_id").null_count == 0
+    table = table.sort_by([(c, "ascending") for c in ["length", "doc_id", "piece", "start", "ids_crc32", *(["sequence_id"] if first else [])]])
+    known = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)[1].astype("<i4").tobytes() if first else None
+    cols = [pa.array([key[0].as_py()], pa.int64())] + [pa.array([table.column(c).to_pylist()], pa.list_(t)) for c, t in zip(ITEM, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+    return pa.Table.from_arrays([*cols, pa.array([known], pa.binary())], ["district", *ITEM, "known"])
+
+
+def _settle_task(capacity: int, level: int):
+    """A row for each island of each district, with its first packings."""
 
     def run(source):
-        held = list(source)
-        if not held or not sum(b.num_rows for b in held):
-            return
-        t = pa.Table.from_batches(held)
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-        t = t.sort_by([(c, "ascending") for c in (["sequence_id"] if level else []) + names])
-        sizes = t.column("length").to_pylist()
-        known = None
-        if level:
-            groups: dict[int, list[int]] = {}
-            for i, s in enumerate(t.column("sequence_id").to_pylist()):
-                groups.setdefault(s, []).append(i)
-            known = list(groups.values())
-        part = TaskContext.get().partitionId()
-        bins = evolve(sizes, capacity, 7919 * part + level, known)
-        n = len(sizes)
-        seq, offset, filled = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for k, b in enumerate(bins):
-            at = 0
-            for i in b:
-                seq[i], offset[i] = ((level << 24 | part) << 32) + k, at
-                at += sizes[i]
-            filled[b] = at
-        out = t.select(names).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(offset)).append_column("filled", pa.array(filled))
-        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+        for batch in source:
+            for k in range(batch.num_rows):
+                district, island = batch.column("district")[k].as_py(), batch.column("island")[k].as_py()
+                sizes = batch.column("length")[k].as_py()
+                known = batch.column("known")[k].as_py()
+                rng = random.Random(f"{level}/{district}/{island}")
+                first = [] if known is None else [from_places(sizes, np.frombuffer(known, "<i4"))]
+                bound = least_bins(sizes, capacity)
+                yield _row(district, island, bound, sizes, epoch(settle(sizes, capacity, rng, first), sizes, capacity, rng, bound))
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str = "", id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def _row(district: int, island: int, bound: int, sizes: list[int], people: list[Packing]) -> pa.RecordBatch:
+    packed = [p.places(len(sizes)).astype("<i4").tobytes() for p in people]
+    return pa.RecordBatch.from_arrays([pa.array([district], pa.int64()), pa.array([island], pa.int32()), pa.array([bound], pa.int32()), pa.array([np.array(sizes, "<i4").tobytes()], pa.binary()), pa.array([packed], pa.list_(pa.binary()))], ["district", "island", "bound", "sizes", "people"])
+
+
+def _epoch_task(capacity: int, level: int, nth: int):
+    """An epoch of each island: the guest from another island takes the place of the worst packing."""
+
+    def run(source):
+        for batch in source:
+            for k in range(batch.num_rows):
+                district, island, bound, sizes, people, guest = (batch.column(c)[k].as_py() for c in ("district", "island", "bound", "sizes", "people", "guest"))
+                sizes = np.frombuffer(sizes, "<i4").tolist()
+                rng = random.Random(f"{level}/{district}/{island}/{nth}")
+                held = [from_places(sizes, np.frombuffer(x, "<i4")) for x in [*people[: MEMBERS - 1], guest]]
+                yield _row(district, island, bound, sizes, epoch(held, sizes, capacity, rng, bound))
+
+    return run
+
+
+def _best_task(level: int):
+    """The pieces of a district with their places in the best packing of its islands."""
+
+    def run(source):
+        for batch in source:
+            for k in range(batch.num_rows):
+                sizes = batch.column("length")[k].as_py()
+                best = max((from_places(sizes, np.frombuffer(x, "<i4")) for x in batch.column("tops")[k].as_py()), key=Packing.fitness)
+                n, at = len(sizes), batch.column("district")[k].as_py()
+                seq, offset, filled = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+                for j, (b, f) in enumerate(zip(best.bins, best.fills, strict=True)):
+                    place = 0
+                    for i in b:
+                        seq[i], offset[i] = (level << 56) + (at << 24) + j, place
+                        place += sizes[i]
+                    filled[b] = f
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[k].values for c in ITEM), pa.array(seq), pa.array(offset), pa.array(filled)], [*ITEM, "sequence_id", "offset", "filled"])
+
+    return run
+
+
+def _pack_level(items: DataFrame, district, capacity: int, level: int, tasks: int) -> DataFrame:
+    """Packs the pieces of every district by its islands."""
+    schema = ", ".join(f"{c} {t}" for c, t in (("doc_id", "long"), ("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")))
+    rows = items.withColumn("district", district).groupBy("district")
+    dealt = materialise(rows.applyInArrow(_district, DISTRICT), "districts")
+    islands = dealt.select("district", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "length", "known")
+    people = materialise(islands.repartition(tasks, "district", "island").mapInArrow(_settle_task(capacity, level), PEOPLE), "people")
+    for nth in range(1, EPOCHS):
+        guests = people.select("district", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("people", 1).alias("guest"))
+        moved = people.join(guests.repartition(tasks, "district", "island"), ["district", "island"])
+        before, people = people, materialise(moved.mapInArrow(_epoch_task(capacity, level, nth), PEOPLE), "people")
+        discard(before)
+    tops = people.groupBy("district").agg(F.collect_list(F.element_at("people", 1)).alias("tops"))
+    packed = materialise(dealt.join(tops, "district").mapInArrow(_best_task(level), f"{schema}, sequence_id long, offset long, filled long"), "packed")
+    discard(people)
+    discard(dealt)
+    return packed
+
+
+def pack(docs: DataFrame, tokenizer: str = "", id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, district_items: int = DISTRICT_ITEMS) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``: where each piece of each document is.
 
     A null or empty text is the end id alone. Rows that repeat an id are documents of their own; null ids stay null.
-    Other columns are ignored. No rows give no rows.
+    Other columns are ignored. No rows give no rows. A district holds the pieces that hash to it, whatever their
+    lengths; equal pieces are spread like any others.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    pieces = materialise(texts.mapInArrow(_piece_task(tokenizer or vocabulary(WORD_VOCABULARY), capacity, end_id), schema), "pieces")
-    whole = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = pieces.where(F.col("length") < capacity)
-    n = rest.count()
-    done, level, islands = whole, 0, max(1, math.ceil(n / ISLAND_ITEMS))
-    dealt = rest.repartition(islands)
-    while True:
-        packed = materialise(dealt.mapInArrow(_island_task(capacity, level), PACKED), "packed")
-        good = F.col("filled") >= WELL_FILLED * capacity
-        if islands == 1 or level == 3:
-            return done.unionByName(packed.drop("filled"))
-        done = done.unionByName(packed.where(good).drop("filled"))
-        poor = packed.where(~good)
-        here = poor.agg(F.countDistinct(F.shiftright("sequence_id", 32)).alias("p"), F.count(F.lit(1)).alias("n")).first()
-        if not here["n"]:
-            return done
-        level, islands = level + 1, max(1, min(math.ceil(here["n"] / ISLAND_ITEMS), islands // 2))
-        dealt = poor.drop("filled", "offset").repartition(islands, F.xxhash64("sequence_id") % islands)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scratch(spark):
+        pieces = materialise(texts.mapInArrow(_piece_task(tokenizer or vocabulary(WORD_VOCABULARY), capacity, end_id), schema), "pieces")
+        done = [pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+        items = pieces.where(F.col("length") < capacity).withColumn("sequence_id", F.lit(None).cast("long"))
+        n, level, came = items.count(), 0, None
+        # Places in the table spread equal rows over the districts; the table is written, so they do not change.
+        spread = F.xxhash64(F.monotonically_increasing_id())
+        while n:
+            districts = math.ceil(n / district_items)
+            packed = _pack_level(items, F.pmod(spread, F.lit(districts)), capacity, level, max(1, min(most, ISLANDS * districts)))
+            good = F.col("filled") >= WELL_FILLED * capacity
+            poor = packed.where(~good)
+            left = poor.agg(F.countDistinct("sequence_id").alias("sequences"), F.count(F.lit(1)).alias("n")).first()
+            made = left["sequences"] + (packed.where(good).select("sequence_id").distinct().count() if came else 0)
+            if districts == 1 or came and came - made < max(1, LEAST_GAIN * came):
+                done.append(packed.drop("filled"))
+                break
+            done.append(packed.where(good).drop("filled"))
+            items, n, level, came = poor.drop("filled", "offset"), left["n"], level + 1, left["sequences"]
+            spread = F.xxhash64("sequence_id")
+        out = done[0]
+        for more in done[1:]:
+            out = out.unionByName(more)
+        return keep(materialise(out, "sequences"))
