@@ -159,6 +159,7 @@ def read_turns(formatted: Column, template: Template | None = None) -> Column:
 def loss_text(formatted: Column, spans: Column, template: Template | None = None) -> Column:
     """All text under the loss mask, escaping undone. Spans are cut from their own turns, not from the whole string."""
     template = template or Template()
-    pieces = F.split(formatted, "\\Q" + template.over + "\\E")
-    cut = lambda s: unescape(F.substring(pieces[s["turn"].cast("int")], (s["start"] - s["turn_start"] + 1).cast("int"), s["length"].cast("int")))
-    return F.array_join(F.transform(spans, cut), "")
+    # An array of one struct: a lambda's argument is computed once, while the body is computed for every span.
+    both = F.array(F.struct(F.split(formatted, "\\Q" + template.over + "\\E").alias("pieces"), spans.alias("spans")))
+    cut = lambda z, s: unescape(F.substring(z["pieces"][s["turn"].cast("int")], (s["start"] - s["turn_start"] + 1).cast("int"), s["length"].cast("int")))
+    return F.array_join(F.flatten(F.transform(both, lambda z: F.transform(z["spans"], lambda s: cut(z, s)))), "")

@@ -1,13 +1,15 @@
 """Benchmark passages in documents, found by spaced seeds and verified around the hits.
 
-A seed is a fixed mask over eight consecutive words, six of which count. Every position of every benchmark item and of
+A seed is a fixed mask over consecutive words, five or six of which count. Every position of every benchmark item and of
 every document gives one hash for each mask; the two sides meet on equal hashes. As masks leave words out, a passage
-with some words replaced still has hits. Around each hit the item is laid over the document without gaps and the words
+with some words replaced still has hits: the masks are chosen such that a passage of eight words or more has one
+whichever words are replaced, as long as enough are equal. Items of fewer
+words than the longest mask are looked up whole. Around each hit the item is laid over the document without gaps and the words
 are compared: a passage counts if, in some stretch of at least ``least_words`` aligned words (the whole item, if it is
 shorter), at least ``least_share`` of the words are equal. Words are runs of letters and digits with A-Z lower-cased.
 
 The items' hashes are broadcast. Their size is checked: items of more than ``slice_bytes`` of text are taken in that
-many slices, each with a pass of its own over the documents.
+many slices, one after the other; what a slice found is written before the next one is built.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindle.llm.textscan import NOT_ALNUM, batches, mix, scan
+from spindle.llm.textscan import NOT_ALNUM, batches, fold, mix, scan
+from spindle.session import discard, keep, materialise, scratch
 
 # The masks; 1 marks a word that counts.
-MASKS = ("11111100", "11101011", "11010111", "10111101", "11011011")
+MASKS = ("11111100", "11101011", "11010111", "10111101", "11011011", "11111", "110111", "1110011")
 LEAST_WORDS, LEAST_SHARE, SLICE_BYTES = 13, 0.8, 16 << 20
 _MULTIPLIER = np.uint64(0xD1342543DE82EF95)
 _TABLE_BITS = 20
@@ -63,8 +66,14 @@ class Items:
         self.ids, self.masks, self.least_words, self.least_share = ids, masks, least_words, least_share
         self.words = [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         self.seeds = []
+        # Items shorter than the longest mask, by their number of words and the hash of all of them.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        longest = max(map(len, masks))
+        for i, x in enumerate(self.words):
+            if 0 < len(x) < longest:
+                self.short.setdefault(len(x), {}).setdefault(int(fold(x, len(x))[0]), []).append(i)
         for k, m in enumerate(masks):
-            found = [seed_hashes(x, m, k + 1) for x in self.words]
+            found = [seed_hashes(x if len(x) >= longest else x[:0], m, k + 1) for x in self.words]
             h = np.concatenate(found) if found else np.zeros(0, np.uint64)
             item = np.repeat(np.arange(len(found)), [len(x) for x in found])
             at = np.concatenate([np.arange(len(x)) for x in found]) if found else np.zeros(0, np.int64)
@@ -88,6 +97,13 @@ class Items:
                 doc = np.searchsorted(w.first, pos, "right") - 1
                 inside = pos + len(m) <= w.first[doc + 1]
                 hits.append(np.stack([doc, item[lo], pos - at[lo]], 1)[inside])
+        for n, known in self.short.items():
+            runs, keys = fold(w.hashes, n), np.array(sorted(known), np.uint64)
+            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, runs), len(keys) - 1)] == runs)
+            doc = np.searchsorted(w.first, at, "right") - 1
+            inside = at + n <= w.first[doc + 1]
+            for d, x in zip(doc[inside].tolist(), runs[at[inside]].tolist(), strict=True):
+                out[d].update(known[x])
         if not hits:
             return out
         for doc, item, start in np.unique(np.concatenate(hits), axis=0).tolist():
@@ -128,24 +144,42 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str, masks, least_words
     n = max(1, math.ceil((b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / slice_bytes))
     for k in range(n):
         rows = b.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Items([r["id"] for r in rows], [r["text"] for r in rows], masks, least_words, least_share)), k == n - 1
+        shared = benchmark.sparkSession.sparkContext.broadcast(Items([r["id"] for r in rows], [r["text"] for r in rows], masks, least_words, least_share))
+        yield shared, k == n - 1
+        if k < n - 1:
+            shared.destroy()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``(doc_id, items)``: for every row of ``docs`` the sorted ids of the items that it holds a passage of.
 
-    Null and short texts hold none. Items with a null id or text are left out, as are those of fewer words than a mask.
-    Items that share an id count as one. Rows are independent: repeated rows give repeated rows, null ids stay null.
-    Other columns are ignored. An empty benchmark gives empty arrays.
+    Null and wordless texts hold none. Items with a null id or text, or without a word, are left out; items of fewer words
+    than the longest mask count where all their words stand together. Items that share an id count as one. Rows are independent:
+    repeated rows give repeated rows, null ids stay null. Other columns are ignored. An empty benchmark gives empty
+    arrays, no documents give no rows.
     """
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<long>").alias("items"))
-    for shared, last in _slices(benchmark, item_id_col, item_text_col, masks, least_words, least_share, slice_bytes):
-        out = out.mapInArrow(_tag_task(shared, last), "doc_id long, items array<long>" if last else "doc_id long, text string, items array<long>")
-    return out
+    schemas = "doc_id long, text string, items array<long>", "doc_id long, items array<long>"
+    return _in_slices(out, lambda df, shared, last: df.mapInArrow(_tag_task(shared, last), schemas[last]), _slices(benchmark, item_id_col, item_text_col, masks, least_words, least_share, slice_bytes))
+
+
+def _in_slices(df: DataFrame, step, slices) -> DataFrame:
+    """Applies ``step`` for every slice; each result but the last is written, so that one slice is held at a time."""
+    with scratch(df.sparkSession):
+        before = None
+        for shared, last in slices:
+            df = step(df, shared, last)
+            if not last:
+                df = materialise(df, "slice")
+                if before is not None:
+                    discard(before)
+                before = df
+        if before is not None:
+            keep(before)
+    return df
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no passage, with all their columns; cases as in :func:`contamination`."""
-    for shared, _ in _slices(benchmark, item_id_col, item_text_col, masks, least_words, least_share, slice_bytes):
-        docs = docs.mapInArrow(_clean_task(shared, text_col), docs.schema)
-    return docs
+    slices = _slices(benchmark, item_id_col, item_text_col, masks, least_words, least_share, slice_bytes)
+    return _in_slices(docs, lambda df, shared, last: df.mapInArrow(_clean_task(shared, text_col), df.schema), slices)

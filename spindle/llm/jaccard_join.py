@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from spindle.llm.components import components
 from spindle.llm.textscan import batches, shingle_sets
-from spindle.session import discard, materialise
+from spindle.session import discard, keep, materialise, scratch
 
 FLUSH = 500_000
-BLOOM_BITS = 26
+BLOOM_BITS = (16, 30)  # at least and at most; sixteen bits a candidate between
+BROADCAST_ROWS = 200_000  # of three numbers each
 BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
 
 
@@ -372,8 +373,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents link when ``den * |A & B| >= num * |A | B|``. ``component_id`` is the smallest id that links lead to,
     ``n_links`` the number of other rows that a row links with. A null or wordless text has an empty set and links with
     nothing. Rows of equal sets link with each other; rows that repeat an id are rows of their own. A row with a null id
-    links like any other, but its id names no component unless all ids of it are null. Other columns are ignored.
+    links like any other, but its id names no component unless all ids of it are null. Other columns are ignored; no rows
+    give no rows.
     """
+    with scratch(docs.sparkSession):
+        return keep(materialise(_classes(docs, id_col, text_col, k, num, den, heavy_tokens, least_times), "classes"))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, heavy_tokens: int, least_times: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -398,9 +405,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = label.withColumn("sc", size_class).drop("n")
     members = materialise(sets.join(label, "grp").select("node", "grp", "n", "label", "sc"), "members")
     wanted = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-    room = members.groupBy("label", "sc").agg(wanted.alias("blocks"))
-    block = F.xxhash64("label", "sc", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block")
-    placed = materialise(members.join(room, ["label", "sc"]).select("node", "grp", "sc", block), "blocks")
+    # Labels of one block need no row here, so only those of many sets do: where they are few, no label is dealt to one task.
+    room = materialise(members.groupBy("label", "sc").agg(wanted.alias("blocks")).where("blocks > 1"), "room")
+    room = F.broadcast(room) if room.count() <= BROADCAST_ROWS else room
+    block = F.xxhash64("label", "sc", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))).alias("block")
+    placed = materialise(members.join(room, ["label", "sc"], "left").select("node", "grp", "sc", block), "blocks")
 
     of_group = placed.select("grp", F.struct("sc", "block").alias("at")).distinct()
     in_list = lists.select("list", "grp").union(several.select(F.col("grp").alias("list"), "grp")).join(of_group, "grp")
@@ -415,11 +424,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = materialise(held.join(sides, "block").groupBy("pair").applyInArrow(_screen(num, den), "pair long, block long, mask binary"), "screened")
     marked = materialise(kept.select("block", "mask").groupBy("block").applyInArrow(_either, "block long, mask binary").join(held, "block").mapInArrow(_marked, "node long, block long"), "marked")
 
-    # Whole sets of those that are left, from the texts. The table of bits has a fixed size; it only saves work.
+    # Whole sets of those that are left, from the texts. The table of bits has a bounded size; it only saves work.
     left = marked.join(sets, "node").select("node", "block", "least_id", "copies")
-    pos = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << BLOOM_BITS))
+    bloom_bits = min(max(BLOOM_BITS[0], (16 * marked.count()).bit_length()), BLOOM_BITS[1])
+    pos = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bloom_bits))
     words = left.select(pos("least_id").alias("pos")).groupBy(F.expr("pos div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pos % 64 as int))")).alias("b")).toArrow()
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
+    table = np.zeros(1 << (bloom_bits - 6), np.uint64)
     table[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint64)
     bloom = spark.sparkContext.broadcast(table)
     full = texts.select("text", pos("doc_id").alias("pos")).mapInArrow(_set_task(k, bloom), "node long, tokens binary")

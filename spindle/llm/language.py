@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.textscan import batches, mix
-from spindle.session import materialise
+from spindle.session import materialise, scratch
 
 SAMPLE_A_LANGUAGE, LANGUAGES = 800, 64
 BUCKETS, DIM, EPOCHS, BATCH, RATE = 1 << 15, 16, 4, 16, 2.0
@@ -270,11 +270,13 @@ def _feature_task(source):
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", a_language: int = SAMPLE_A_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
-    """Trains on a sample of rows with a language: those of the ``languages`` most frequent ones with the smallest hashes of their ids.
+    """Trains on a bounded sample of rows with a language: of the ``languages`` most frequent ones, ``a_language`` rows each.
 
-    Reads ids and languages once to count, and the texts of the sample alone after that.
+    A row's place in the sample is the hash of its id and text; rows that repeat both count once, so null and repeated ids
+    do not enlarge the sample. Rows of rarer languages are not learnt from. Reads ids, languages and texts once to count,
+    and the texts of the sample alone after that. No rows with a language and a text give no model.
     """
-    rank = F.xxhash64(F.col(id_col).cast("string"), F.lit(17))
+    rank = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(17))
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), rank.alias("rank"))
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
@@ -285,9 +287,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         share = min(1.0, (1.5 * a_language + 50) / c["n"])
         top = F.lit(-(2**63) + int(share * 2**64)) if share < 1 else None
         wanted = wanted | ((F.col("lang") == c["lang"]) & (F.lit(True) if top is None else F.col("rank") < top))
-    got = rows.where(wanted).mapInArrow(_feature_task, "rank long, lang string, places binary, shares binary")
-    got = materialise(got, "features")
-    table, taken, sample = sorted(((r["lang"], r["rank"]) for r in got.select("lang", "rank").collect())), Counter(), set()
+    got = rows.where(wanted).dropDuplicates(["lang", "rank"]).select("lang", "text", "rank").mapInArrow(_feature_task, "rank long, lang string, places binary, shares binary")
+    with scratch(labelled.sparkSession):
+        return train(_sampled(materialise(got, "features"), a_language))
+
+
+def _sampled(got: DataFrame, a_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """The rows of each language with the smallest ranks, in order of rank."""
+    table, taken, sample = sorted((r["lang"], r["rank"]) for r in got.select("lang", "rank").collect()), Counter(), set()
     for lang, r in table:
         if taken[lang] < a_language:
             taken[lang] += 1
@@ -299,7 +306,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     out = []
     for r in got.where(keep).orderBy("rank", "lang").toLocalIterator():
         out.append((r["lang"], np.frombuffer(bytes(r["places"]), np.int32), np.frombuffer(bytes(r["shares"]), np.float32)))
-    return train(out)
+    return out
 
 
 def _predict_task(shared, keep_rejected: bool, text_col: str, names: list[str]):

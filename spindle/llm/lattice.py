@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.llm.textscan import batches, mix
-from spindle.session import discard, materialise
+from spindle.session import discard, keep, materialise, scratch
 
 PIECES = "piece_bpe_32k.model"
 CLASSES = 8
@@ -350,22 +350,28 @@ def _score_task(shared):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", path: str = "", frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", class_col: str | None = "lang", path: str = "", frequent: int = FREQUENT, classes: int = CLASSES) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``: a row for each row of ``docs``.
 
     Learns from the rows that are not ``held_out`` (null counts as not held out). A null text is empty: its only token
     is the end. ``base_score`` is the sum of ``log10((c + 1) / (N + V + 1))`` over tokens, ``score`` the model's log10
     probability of the text. Without training rows all counts are zero, words have the pieces' probability alone and the
     end is certain.
-    Rows are independent, repeated ids included; other columns are ignored.
+    Rows are independent, repeated ids included; other columns are ignored; no rows give no rows. Of the classes the
+    ``classes - 1`` most frequent ones have weights of their own, all other rows one class together.
     """
+    with scratch(docs.sparkSession):
+        return keep(materialise(_scored(docs, held_out, id_col, text_col, class_col, path, frequent, classes), "scores"))
+
+
+def _scored(docs: DataFrame, held_out: Column, id_col: str, text_col: str, class_col: str | None, path: str, frequent: int, most_classes: int) -> DataFrame:
     path = path or public_tokenizers.path(PIECES)
     spark = docs.sparkSession
     lang = F.col(class_col).cast("string") if class_col else F.lit(None).cast("string")
     out_flag = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang"), out_flag.alias("held_out"))
     learn = rows.where(~F.col("held_out"))
-    top = learn.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES - 1).collect()
+    top = learn.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_classes - 1).collect()
     classes = [r["lang"] for r in top]
     k = len(classes) + 1
 

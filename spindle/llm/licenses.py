@@ -10,6 +10,7 @@ gone for the rules after it, so the full text of a licence is not also reported
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import ahocorasick
 import pyarrow as pa
@@ -58,6 +59,31 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "cc-by-nc-sa-name": ("Licensed under CC BY-NC-SA 4.0", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
     "cc-by-nc-nd-name": ("Licensed under CC BY-NC-ND 4.0", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     "cc0-name": ("To the extent possible under law, the author has waived all copyright", "Licensed under CC0 1.0", "dedicated to the public domain under CC0"),
+    "gpl3-title": ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "gpl2-title": ("GNU GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "lgpl3-title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",),
+    "lgpl21-title": ("GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",),
+    "lgpl2-title": ("GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",),
+    "agpl3-title": ("GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",),
+    "gnu-verbatim": ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed",),
+    "apache2-title": ("Apache License Version 2.0, January 2004",),
+    "mpl2-title": ("Mozilla Public License Version 2.0",),
+    "mpl11-title": ("MOZILLA PUBLIC LICENSE Version 1.1",),
+    "mpl11-notice": ("The contents of this file are subject to the Mozilla Public License Version 1.1",),
+    "epl2-title": ("Eclipse Public License - v 2.0", "under the terms of the Eclipse Public License 2.0", "under the terms of the Eclipse Public License v2.0"),
+    "epl1-title": ("Eclipse Public License - v 1.0", "under the terms of the Eclipse Public License v1.0"),
+    "boost-title": ("Boost Software License - Version 1.0 - August 17th, 2003", "Distributed under the Boost Software License, Version 1.0"),
+    "boost-grant": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    "zlib-as-is": ("This software is provided 'as-is', without any express or implied warranty",),
+    "zlib-grant": ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",),
+    "bsd-advertising": ("All advertising materials mentioning features or use of this software must display the following acknowledgement",),
+    "artistic2-title": ("The Artistic License 2.0", "under the terms of the Artistic License 2.0", "under the Artistic License 2.0"),
+    "artistic1-title": ('The "Artistic License"',),
+    "ofl-title": ("SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007", "licensed under the SIL Open Font License, Version 1.1"),
+    "psf2-title": ("PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2",),
+    "wtfpl-title": ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",),
+    "cddl1-title": ("COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0",),
+    "isc-condition": ("provided that the above copyright notice and this permission notice appear in all copies",),
     "unlicense": ("This is free and unencumbered software released into the public domain",),
     "reserved": ("All rights reserved",),
 }
@@ -65,10 +91,20 @@ SENTENCES: dict[str, tuple[str, ...]] = {
 # Licences as sequences of sentences, the more specific first.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-grant", "mit-notice", "as-is-software")),
-    ("ISC", ("isc-grant", "isc-as-is")),
+    ("ISC", ("isc-grant", "isc-condition", "isc-as-is")),
+    ("0BSD", ("isc-grant", "isc-as-is")),
+    ("BSD-4-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-advertising", "bsd-endorse")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("Apache-2.0", ("apache2-name", "apache2-obtain", "apache2-unless")),
+    ("AGPL-3.0", ("agpl3-title", "gnu-verbatim")),
+    ("LGPL-3.0", ("lgpl3-title", "gnu-verbatim")),
+    ("LGPL-2.1", ("lgpl21-title", "gnu-verbatim")),
+    ("LGPL-2.0", ("lgpl2-title", "gnu-verbatim")),
+    ("GPL-3.0", ("gpl3-title", "gnu-verbatim")),
+    ("GPL-2.0", ("gpl2-title", "gnu-verbatim")),
+    ("BSL-1.0", ("boost-title", "boost-grant")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
     ("AGPL-3.0-or-later", ("agpl-free", "version-3-or-later", "gpl-hope")),
     ("LGPL-3.0-or-later", ("lgpl-free", "version-3-or-later", "gpl-hope")),
     ("LGPL-2.1-or-later", ("lgpl-free", "version-2.1-or-later", "gpl-hope")),
@@ -96,17 +132,44 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("cc-by-name",)),
     ("CC0-1.0", ("cc0-name",)),
     ("Unlicense", ("unlicense",)),
+    ("Apache-2.0", ("apache2-title",)),
+    ("MPL-2.0", ("mpl2-title",)),
+    ("MPL-1.1", ("mpl11-notice",)),
+    ("MPL-1.1", ("mpl11-title",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("EPL-1.0", ("epl1-title",)),
+    ("BSL-1.0", ("boost-title",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("Artistic-2.0", ("artistic2-title",)),
+    ("Artistic-1.0", ("artistic1-title",)),
+    ("OFL-1.1", ("ofl-title",)),
+    ("PSF-2.0", ("psf2-title",)),
+    ("WTFPL", ("wtfpl-title",)),
+    ("CDDL-1.0", ("cddl1-title",)),
     ("all-rights-reserved", ("reserved",)),
 )
 
+# Creative Commons licences before 4.0, by rule: codes, their names in words, versions.
+for _code, _words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivs"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivs")):
+    for _version in ("1.0", "2.0", "2.5", "3.0"):
+        _name = f"CC-{_code}-{_version}"
+        SENTENCES[_name.lower()] = (f"Licensed under CC {_code} {_version}", f"licensed under a Creative Commons {_words} {_version} License", f"licensed under a Creative Commons {_words} {_version} Unported License")
+        RULES += ((_name, (_name.lower(),)),)
+# A machine-readable tag for each licence that a rule names, and forms with their "-only" and "-or-later" endings.
+_named = {x for x, _ in RULES} - {"all-rights-reserved"}
+for _name in sorted(_named | {f"{x}-{end}" for x in _named for end in ("only", "or-later") if re.fullmatch(r"[AL]?GPL-[0-9.]+", x)}):
+    SENTENCES[f"tag-{_name.lower()}"] = (f"SPDX-License-Identifier: {_name}",)
+    RULES += ((_name, (f"tag-{_name.lower()}",)),)
+
 # A text without any of these has no known sentence. Between words stands whatever normalising makes a space.
-_ANCHOR = re.compile(r"licen[cs]e|permission|redistribut|free software|as is|rights reserved|public domain|waived|obtain a copy|warrant|endorse|any later version".replace(" ", r"[\W_]+"), re.I)
-_OTHER = re.compile(r"[^\w.+-]+|(?<![0-9])\.|\.(?![0-9])|(?<!\w)[+-]+|[+-]+(?!\w)|_+")
+_ANCHOR = re.compile(r"licen[cs]e|permission|redistribut|free software|as is|rights reserved|public domain|waived|obtain a copy|warrant|endorse|advertising|any later version".replace(" ", r"[\W_]+"), re.I)
+_OTHER = re.compile(r"[^\w.+-]+|(?<![0-9])\.|\.(?![0-9])|(?<!\w)[+-]+|[+-]+(?!\w)")
 
 
 def normalised(text: str) -> str:
     """Words with single spaces between and around them."""
-    return f" {' '.join(_OTHER.sub(' ', text.lower()).replace('licence', 'license').split())} "
+    return f" {' '.join(_OTHER.sub(' ', text.lower().replace('_', ' ')).replace('licence', 'license').split())} "
 
 
 def _automaton():
@@ -135,27 +198,30 @@ def sentences(text: str, automaton) -> list[tuple[int, int, str]]:
 
 
 def licenses(found: list[tuple[int, int, str]], rules=RULES, gap: int = GAP) -> list[tuple[int, str]]:
-    """``(start, licence)`` in order of the text."""
+    """``(start, licence)`` in order of the text. A rule reads on for ``gap`` words only, so time grows with the text."""
     left, out = list(found), []
+    there = Counter(x[2] for x in left)
     for name, wanted in rules:
-        at = 0
-        while at < len(left):
-            if left[at][2] != wanted[0]:
-                at += 1
+        if any(w not in there for w in wanted):
+            continue
+        used = [False] * len(left)
+        for at, (start, end, first) in enumerate(left):
+            if used[at] or first != wanted[0]:
                 continue
-            taken, end, k = [at], left[at][1], at + 1
+            taken, k = [at], at + 1
             for w in wanted[1:]:
-                while k < len(left) and left[k][2] != w and left[k][0] - end <= gap:
+                while k < len(left) and (used[k] or left[k][2] != w) and left[k][0] - end <= gap:
                     k += 1
-                if k == len(left) or left[k][2] != w or left[k][0] - end > gap:
+                if k == len(left) or left[k][0] - end > gap:
                     break
                 taken.append(k)
                 end, k = left[k][1], k + 1
-            if len(taken) < len(wanted):
-                at += 1
-                continue
-            out.append((left[taken[0]][0], name))
-            left = [x for i, x in enumerate(left) if i not in taken]
+            if len(taken) == len(wanted):
+                out.append((start, name))
+                for i in taken:
+                    used[i] = True
+        left = [x for x, u in zip(left, used, strict=True) if not u]
+        there = Counter(x[2] for x in left)
     return sorted(out)
 
 
@@ -173,7 +239,8 @@ def _task(source):
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, licenses, sentences)``: licences and known sentences of every whole text, in order, repeats included.
 
-    Null and empty texts have none. Rows are independent; repeated ids and null ids stay; other columns are ignored.
+    Null and empty texts have none. Rows are independent; repeated ids and null ids stay; other columns are ignored; no
+    rows give no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_task, "doc_id long, licenses array<string>, sentences array<string>")

@@ -3,11 +3,12 @@
 A vector is cut into segments. With the mean m and the deviation s of each segment of length L, the squared distance of
 q and x is at least the sum of ``L ((mq - mx)^2 + (sq - sx)^2)``. As ``2 q.x = |q|^2 + |x|^2 - |q - x|^2``, this lower
 bound on the distance is an upper bound on the inner product: the sum of ``L (mq mx + sq sx)``. A pair whose bound lies
-below the query's k-th best score so far is dropped; the others go on to more segments, and at last to the exact
-product. A query's first k-th best score comes from the other queries, which are candidates too.
+below the query's k-th best score so far is dropped; the others go on to more segments, with a sixteenth, a quarter and
+half as many segments as components, and at last to the exact product, which is taken for survivors alone. A query's first k-th best score comes from the other queries, which are candidates too.
 
-Queries go out in waves of bounded size, as broadcasts. Each wave passes over all candidates where they are, and every
-task hands on its best k for each query.
+Queries go out in waves of bounded size, as broadcasts, one wave at a time: its result is written and its broadcast
+destroyed before the next one is gathered. Each wave passes over all candidates where they are, and every task hands on
+its best k for each query.
 """
 
 from __future__ import annotations
@@ -19,11 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spindle.session import keep, materialise, scratch
+
 WAVE, TILE_Q, TILE_X = 4096, 256, 2048
-SEGMENTS = (4, 16)
+SHARES = (16, 4, 2)
 SPARSE = 0.05
 
 
+def segment_counts(d: int) -> list[int]:
+    """Numbers of segments from coarse to fine; as many as components would be the exact product."""
+    return sorted({max(1, d // x) for x in SHARES if d // x < d} if d > 1 else ())
+
+
 def quantised(column: pa.Array, scale: int) -> tuple[np.ndarray, list]:
     """Rows that take part, and ``floor(scale * x)`` of their components in float64: a row each."""
     if isinstance(column, pa.ChunkedArray):
@@ -76,7 +84,9 @@ class Best:
         self.least = np.full(len(ids), -np.inf) if least is None else least.copy()
         self.scores = [np.zeros(0, np.int64)] * len(ids)
         self.found = [np.zeros(0, np.int64)] * len(ids)
-        self.levels = [summary(q, s) for s in SEGMENTS] if q.shape[1] > max(SEGMENTS) else []
+        self.counts = segment_counts(q.shape[1])
+        self.levels = [summary(q, s) for s in self.counts]
+        self.pairs = self.products = 0  # pairs offered, and exact products taken
 
     def _take(self, i: int, ids: np.ndarray, scores: np.ndarray) -> None:
         s, v = np.concatenate([self.scores[i], scores]), np.concatenate([self.found[i], ids])
@@ -90,40 +100,54 @@ class Best:
         _check(self.q, x)
         for b in range(0, len(ids), TILE_X):
             xi, xs = ids[b : b + TILE_X], x[b : b + TILE_X]
-            levels = [summary(xs, s) for s in SEGMENTS] if self.levels else []
+            levels = [summary(xs, s) for s in self.counts]
             for a in range(0, len(self.ids), TILE_Q):
                 self._tile(slice(a, a + TILE_Q), xi, xs, levels)
 
     def _tile(self, part: slice, xi: np.ndarray, xs: np.ndarray, levels: list[np.ndarray]) -> None:
-        q, own, least = self.q[part], self.ids[part], self.least[part]
+        own, least = self.ids[part], self.least[part].copy()
         alive = own[:, None] != xi[None, :]
-        pairs = None
+        self.pairs += int(alive.sum())
+        slack = 1e-6 * (1 + np.abs(least))
+        slack[~np.isfinite(slack)] = 0
+        pairs = bound = None
         for mine, theirs in zip(self.levels, levels, strict=True):
             mine = mine[part]
-            slack = 1e-6 * (1 + np.abs(least))
-            slack[~np.isfinite(slack)] = 0
             if pairs is None:
-                alive &= mine @ theirs.T >= (least - slack)[:, None]
+                bound = mine @ theirs.T
+                alive &= bound >= (least - slack)[:, None]
                 if alive.mean() < SPARSE:
                     pairs = np.nonzero(alive)
+                    bound = bound[pairs]
             else:
                 i, j = pairs
-                keep = np.einsum("nd,nd->n", mine[i], theirs[j]) >= (least - slack)[i]
-                pairs = i[keep], j[keep]
+                bound = np.einsum("nd,nd->n", mine[i], theirs[j])
+                held = bound >= (least - slack)[i]
+                pairs, bound = (i[held], j[held]), bound[held]
         if pairs is None:
-            score = q @ xs.T
-            i, j = np.nonzero(alive & (score >= least[:, None]))
-            got = score[i, j]
-        else:
-            i, j = pairs
-            got = np.einsum("nd,nd->n", q[i], xs[j])
-            keep = got >= least[i]
-            i, j, got = i[keep], j[keep], got[keep]
+            pairs = np.nonzero(alive)
+            bound = np.full(len(pairs[0]), np.inf) if bound is None else bound[pairs]
+        i, j = pairs
         if not len(i):
             return
-        edge = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-        for a, b in zip(edge, np.append(edge[1:], len(i)), strict=True):
-            self._take(part.start + int(i[a]), xi[j[a:b]], got[a:b].astype(np.int64))
+        edge = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i))
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            row, some, most = int(i[a]), j[a:b], bound[a:b]
+            if len(some) > 4 * self.k:
+                # Those of the highest bounds first: what they score rules out others.
+                first = np.argpartition(-most, 2 * self.k)[: 2 * self.k]
+                self._exact(part.start + row, xi, xs, some[first])
+                most[first] = -np.inf
+                some = some[most >= self.least[part.start + row] - slack[row]]
+            self._exact(part.start + row, xi, xs, some)
+
+    def _exact(self, row: int, xi: np.ndarray, xs: np.ndarray, some: np.ndarray) -> None:
+        """Exact products of a query with some candidates."""
+        self.products += len(some)
+        score = xs[some] @ self.q[row]
+        kept = score >= self.least[row]
+        if kept.any():
+            self._take(row, xi[some[kept]], score[kept].astype(np.int64))
 
 
 def _first_bounds(ids: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
@@ -164,22 +188,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, i
     non-finite component, take no part. A row is never its query's own candidate, nor is another row of the same id.
     Other rows that repeat an id are candidates of their own; of queries that repeat an id, the smallest vector asks.
     Vectors are compared with those of their own dimension; an empty vector scores 0 with every other. Components so
-    large that scores would not be exact raise an error. Other columns are ignored.
+    large that scores would not be exact raise an error. Other columns are ignored; no rows give no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
     asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
     waves = max(1, math.ceil(asked.count() / wave))
-    out = None
-    for w in range(waves):
-        t = asked.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == w).toArrow()
-        ok, vecs = quantised(t.column("vec"), scale)
-        ids = t.column("id").to_numpy()[ok].astype(np.int64) if len(ok) else np.zeros(0, np.int64)
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], vecs[i].tolist()))
-        order = [i for n, i in enumerate(order) if not n or ids[i] != ids[order[n - 1]]]
-        queries = {d: (i, q, _first_bounds(i, q, k)) for d, (i, q) in by_dimension(ids[order], [vecs[i] for i in order]).items()} if order else {}
-        found = rows.mapInArrow(_task(spark.sparkContext.broadcast(queries), k, scale), "query_id long, vec_id long, score long")
-        out = found if out is None else out.unionAll(found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = []
+    with scratch(spark):
+        for w in range(waves):
+            t = asked.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == w).toArrow()
+            ok, vecs = quantised(t.column("vec"), scale)
+            ids = t.column("id").to_numpy()[ok].astype(np.int64) if len(ok) else np.zeros(0, np.int64)
+            order = sorted(range(len(ids)), key=lambda i: (ids[i], vecs[i].tolist()))
+            order = [i for n, i in enumerate(order) if not n or ids[i] != ids[order[n - 1]]]
+            queries = {d: (i, q, _first_bounds(i, q, k)) for d, (i, q) in by_dimension(ids[order], [vecs[i] for i in order]).items()} if order else {}
+            shared = spark.sparkContext.broadcast(queries)
+            rows_ = rows.mapInArrow(_task(shared, k, scale), "query_id long, vec_id long, score long")
+            ranked = rows_.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            found.append(keep(materialise(ranked, "wave")))
+            shared.destroy()
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionAll(more)
+    return out

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -64,3 +65,14 @@ def test_query(spark, sf):
         assert got[c].n_turns == len(turns) and got[c].loss_chars == len(loss)
         assert got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert got[c].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_long_conversation(spark):
+    """Time grows with the turns, not with their square."""
+    n = 12_000
+    df = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('text <| of turn ', id) as text")
+    chats = format_chats(df.withColumn("parts", text_parts(F.col("text"))))
+    began = time.time()
+    got = chats.select("n_turns", F.size("loss_spans").alias("spans"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    assert time.time() - began < 15
+    assert [tuple(r) for r in got] == [(n, n // 2, "".join(f"text <| of turn {i}" for i in range(1, n, 2)))]

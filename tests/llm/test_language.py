@@ -1,6 +1,7 @@
 """Language identification: held-out accuracy, rejection and edge cases."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -81,3 +82,17 @@ def test_sample_is_bounded(spark, sf, monkeypatch):
     monkeypatch.setattr(language, "train", lambda rows: seen.extend(rows))
     language.fit(spark.read.parquet(f"{sf}/documents.parquet"), a_language=5, languages=2)
     assert len(seen) == 10 and len({r[0] for r in seen}) == 2
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """Rows that repeat an id and a text, or have no id, do not enlarge the sample."""
+    rows = [(None, f"alpha beta word{i % 40} gamma", "en") for i in range(300)] + [(7, "eins zwei drei", "de")] * 200 + [(i, f"uno dos tres {chr(97 + i % 26)}{i}", "es") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    language.train, real = lambda r: seen.append(r), language.train
+    try:
+        language.fit(df, a_language=50)
+    finally:
+        language.train = real
+    counts = Counter(r[0] for r in seen[0])
+    assert counts["de"] == 1 and 0 < counts["en"] <= 40 and counts["es"] == 50

@@ -1,6 +1,7 @@
 """Licence rules on whole licences, notices and near misses."""
 
 import re
+import time
 
 import pytest
 
@@ -50,6 +51,25 @@ def test_broken_lines(spark, between):
         assert got[i].sentences == [name] and got[i].licenses == ([alone[name]] if name in alone else [])
 
 
+def test_full_texts_and_tags():
+    gnu = " Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+    assert names("GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007" + gnu) == ["LGPL-3.0"]
+    assert names("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991" + gnu) == ["GPL-2.0"]
+    assert names("// SPDX-License-Identifier: GPL-2.0-or-later\n# SPDX-License-Identifier: CC-BY-SA-3.0") == ["GPL-2.0-or-later", "CC-BY-SA-3.0"]
+    assert names("licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License") == ["CC-BY-SA-3.0"]
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted{} THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"
+    assert names(isc.format(".")) == ["0BSD"] and names(isc.format(", provided that the above copyright notice and this permission notice appear in all copies.")) == ["ISC"]
+
+
+def test_many_notices_are_quick():
+    text = "Released under the MIT License. x " * 20_000
+    found = sentences(text, A)
+    began = time.time()
+    assert len(licenses(found)) == 20_000 and time.time() - began < 2
+    grants = sentences((SENTENCES["mit-grant"][0] + ". ") * 3000 + SENTENCES["mit-notice"][0], A)
+    assert [n for _, n in licenses(grants)] == ["MIT"]
+
+
 def test_query(spark, sf):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     plain = {"MIT": "Released under the MIT License", "Apache-2.0": "Licensed under the Apache License, Version 2.0", "GPL-3.0-only": "licensed under the GNU General Public License, version 3", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0", "all-rights-reserved": "All rights reserved"}

@@ -1,9 +1,11 @@
 """Top-k search against all pairs."""
 
 import math
+import os
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def test_bounds_hold_and_prune():
     x = np.floor(np.cumsum(rng.normal(0, 9, (300, 64)), axis=1))
     exact = x @ x.T
     last = None
-    for s in topk.SEGMENTS:
+    for s in topk.segment_counts(64):
         bound = topk.summary(x, s) @ topk.summary(x, s).T
         assert (bound >= exact - 1e-6 * np.abs(exact) - 1e-6).all()
         assert last is None or (bound <= last + 1e-6 * np.abs(last)).all()
@@ -59,6 +61,21 @@ def test_bounds_hold_and_prune():
     assert (last[0] < np.sort(exact[0])[-20]).mean() > 0.5
 
 
+def test_products_are_for_survivors(sf):
+    """On the table the bounds rule out a third of all pairs before an exact product is taken."""
+    path = f"{os.path.dirname(sf)}/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no larger table")
+    t = pq.read_table(path)
+    ok, rows = topk.quantised(t.column("embedding"), 64)
+    ids, x = next(iter(topk.by_dimension(t.column("vec_id").to_numpy()[ok].astype(np.int64), rows).values()))
+    asked = ids % 20 == 0
+    best = topk.Best(ids[asked], x[asked], 20, topk._first_bounds(ids[asked], x[asked], 20))
+    best.offer(ids, x)
+    assert best.pairs == asked.sum() * (len(ids) - 1) and 0 < best.products < 0.7 * best.pairs
+    assert topk.segment_counts(64) == [4, 16, 32] and topk.segment_counts(3) == [1] and topk.segment_counts(1) == [] and topk.segment_counts(12) == [1, 3, 6]
+
+
 def test_overflow(spark):
     df = spark.createDataFrame([(0, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="too large"):
