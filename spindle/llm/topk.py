@@ -133,13 +133,14 @@ class Best:
         edge = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i))
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             row, some, most = int(i[a]), j[a:b], bound[a:b]
-            if len(some) > 4 * self.k:
-                # Those of the highest bounds first: what they score rules out others.
-                first = np.argpartition(-most, 2 * self.k)[: 2 * self.k]
-                self._exact(part.start + row, xi, xs, some[first])
-                most[first] = -np.inf
-                some = some[most >= self.least[part.start + row] - slack[row]]
-            self._exact(part.start + row, xi, xs, some)
+            # Those of the highest bounds first: what they score rules out others.
+            order, size = np.argsort(-most, kind="stable"), 4 * self.k
+            some, most = some[order], most[order]
+            while len(some):
+                self._exact(part.start + row, xi, xs, some[:size])
+                some, most = some[size:], most[size:]
+                left = int(np.searchsorted(-most, slack[row] - self.least[part.start + row], "right"))
+                some, most = some[:left], most[:left]
 
     def _exact(self, row: int, xi: np.ndarray, xs: np.ndarray, some: np.ndarray) -> None:
         """Exact products of a query with some candidates."""
