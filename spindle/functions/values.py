@@ -53,12 +53,9 @@ def _exact(operator: str, left: str, right: str, kind: T.DataType) -> Column:
     a, b = F.col(left), F.col(right)
     if isinstance(kind, FLOATS):
         return {"+": a + b, "-": a - b, "*": a * b}[operator].cast(kind)
-    wide = T.DecimalType(38, 0)
-    x, y = a.cast(T.DecimalType(19, 0)), b.cast(T.DecimalType(19, 0))
-    exact = {"+": x + y, "-": x - y, "*": x * y}[operator].cast(wide)
-    bits = 31 if isinstance(kind, T.IntegerType) else 63
-    out = (exact < F.lit(-(2**bits)).cast(wide)) | (exact > F.lit(2**bits - 1).cast(wide))
-    return F.when(out, F.raise_error(F.lit(f"overflow of {kind.simpleString()}")).cast(kind)).otherwise(F.when(~out, exact).cast(kind))
+    out = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[operator](a, b)
+    overflow = out.isNull() & a.isNotNull() & b.isNotNull()
+    return F.when(overflow, F.raise_error(F.lit(f"overflow of {kind.simpleString()}")).cast(kind)).otherwise(out)
 
 
 def add(df: DataFrame, left: str, right: str) -> Column:

@@ -8,6 +8,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spindle.operators.partition import Partitioner, hash_partitioner, partition_edges, partition_vertices, range_partitioner
+
 
 def graph_info(edges: DataFrame) -> DataFrame:
     """One row ``(vertex_num, edge_num)``: one more than the largest id (1 for no edges), and the number of input rows."""
@@ -30,9 +32,24 @@ def edge_ends(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Graph:
-    """Edges ``(src, dst[, data])`` with what follows from them; every table is a lazy DataFrame."""
+    """Edges ``(src, dst[, data])`` with what follows from them, in ``parts`` partitions; every table is a lazy DataFrame."""
 
     edges: DataFrame
+    parts: int = 1
+    hashed: bool = False
+
+    @cached_property
+    def partitioner(self) -> Partitioner:
+        """Which of ``parts`` partitions an id is in: by ranges of ids, or by their hash."""
+        return hash_partitioner(self.parts) if self.hashed else range_partitioner(self.vertex_num, self.parts)
+
+    def partitioned_vertices(self) -> DataFrame:
+        """``(id, part)`` of all vertices."""
+        return partition_vertices(self.vertices(), self.partitioner)
+
+    def partitioned_edges(self) -> DataFrame:
+        """Every edge with the partitions of its ends; one row if both are the same."""
+        return partition_edges(self.edges, self.partitioner)
 
     @cached_property
     def info(self) -> tuple[int, int]:

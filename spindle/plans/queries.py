@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from spindle.functions import values
 from spindle.operators import aggregate, partition
 from spindle.operators.graph import Graph, graph_info, symmetrise
 from spindle.operators.pagerank import first_ranks, pagerank
-from spindle.sources.edges import edges_from
+from spindle.session import register, shared_dir
+from spindle.sources.edges import ReadOptions, edges_from, read_edges, write_edges
 
 Query = Callable[[SparkSession, str], DataFrame]
 PARTS = 4
@@ -47,6 +49,55 @@ def _edges_payload(spark: SparkSession, d: str) -> DataFrame:
     return e.select("src", "dst", F.col("data.l_linenumber").alias("l_linenumber"), F.col("data.l_quantity").alias("l_quantity"))
 
 
+def _written(spark: SparkSession, d: str) -> str:
+    """The part-supplier edges with two payload columns as CSV files without a header line."""
+    path = f"{shared_dir(spark).rstrip('/')}/spindle-edges-{uuid.uuid4().hex}"
+    register(path)
+    write_edges(part_supplier(spark, d, "l_linenumber", "l_quantity"), path)
+    return path
+
+
+HEADER = "from:uint,to:uint,l_linenumber:int,l_quantity:double"
+
+
+def _read_edges_csv(spark: SparkSession, d: str) -> DataFrame:
+    return read_edges(spark, _written(spark, d), ReadOptions(has_header=False, header=HEADER))
+
+
+def _read_edges_csv_payload(spark: SparkSession, d: str) -> DataFrame:
+    e = read_edges(spark, _written(spark, d), ReadOptions(has_header=False, header=HEADER, include_columns=("l_quantity", "l_linenumber")))
+    return e.select("src", "dst", F.col("data.l_linenumber").alias("l_linenumber"), F.col("data.l_quantity").alias("l_quantity"))
+
+
+def _hash_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Every vertex is in one partition of those there are, and none is empty."""
+    v = Graph(shared_ids(spark, d), PARTS, hashed=True).partitioned_vertices()
+    return v.agg(F.count(F.lit(1)).alias("vertices"), F.countDistinct("id", "part").alias("pairs"), F.countDistinct("part").alias("parts"), F.min("part").cast("int").alias("first"), F.max("part").cast("int").alias("last"))
+
+
+def _all_to_all(spark: SparkSession, d: str) -> DataFrame:
+    """Each row's partition after the exchange, counted: it is the one that it was sent to."""
+    g = Graph(shared_ids(spark, d), PARTS)
+    sent = aggregate.all_to_all(partition.edge_partition(g.edges, g.partitioner), "part", PARTS).withColumn("at", F.spark_partition_id())
+    return sent.groupBy("part", "at").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _value_types(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(n, t.simpleString()) for n, t in values.VALUE_TYPES.items()], "name string, type string")
+
+
+def _scalar_extract(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "lineitem")
+    return x.select(values.extract(x, "l_orderkey", "long").alias("k"), values.extract(x, "l_linenumber", "int").alias("n"), values.extract(x, "l_quantity", "double").alias("q"))
+
+
+def _scalar_compare_nan(spark: SparkSession, d: str) -> DataFrame:
+    """Doubles, some of them NaN, and values of different types."""
+    nan = F.when(F.col("l_linenumber") == 1, F.lit(float("nan"))).otherwise(F.col("l_quantity"))
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", nan.alias("a"), (F.col("l_linenumber") * 10.0).alias("b"), F.col("l_partkey").alias("c"))
+    return x.select("l_orderkey", "l_linenumber", values.order(x, "a", "b").alias("sign"), values.equal(x, "a", "a").alias("same"), values.order(x, "c", "a").alias("mixed"), values.equal(x, "c", "a").alias("mixed_same"))
+
+
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
     return Graph(shared_ids(spark, d)).neighbours(7).select(F.col("to").alias("nbr"))
 
@@ -87,7 +138,7 @@ def _pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pagerank_isolated(spark: SparkSession, d: str) -> DataFrame:
-    return pagerank(Graph(order_part(spark, d)), iterations=5).select("id", F.round("pr", 6).alias("pr"))
+    return pagerank(Graph(order_part(spark, d))).select("id", F.round("pr", 6).alias("pr"))
 
 
 def _pagerank_first10(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +175,14 @@ QUERIES: dict[str, Query] = {
     "pagerank_isolated": _pagerank_isolated,
     "read_edges": _read_edges,
     "edges_payload": _edges_payload,
+    "read_edges_csv": _read_edges_csv,
+    "read_edges_csv_payload": _read_edges_csv_payload,
+    "hash_partitions": _hash_partitions,
+    "graph_partitions": lambda s, d: Graph(shared_ids(s, d), PARTS).partitioned_vertices(),
+    "all_to_all": _all_to_all,
+    "value_types": _value_types,
+    "scalar_extract": _scalar_extract,
+    "scalar_compare_nan": _scalar_compare_nan,
     "graph_info": lambda s, d: graph_info(part_supplier(s, d)),
     "symmetrise": lambda s, d: symmetrise(shared_ids(s, d)),
     "degrees": lambda s, d: Graph(order_part(s, d)).degrees(),
@@ -182,9 +241,17 @@ OWNER = f"CAST(least({{}} // ({N} // {PARTS} + 1), {PARTS - 1}) AS INTEGER)"
 ORACLES: dict[str, str] = {
     "pagerank": pagerank_sql(PS, 100),
     "pagerank_first10": pagerank_sql(SELF, 100, "WHERE id < 10"),
-    "pagerank_isolated": pagerank_sql(OP, 5),
+    "pagerank_isolated": pagerank_sql(OP, 100),
     "read_edges": PS,
     "edges_payload": PS.replace(" AS dst FROM", " AS dst, l_linenumber, l_quantity FROM"),
+    "read_edges_csv": PS,
+    "read_edges_csv_payload": PS.replace(" AS dst FROM", " AS dst, l_linenumber, l_quantity FROM"),
+    "hash_partitions": f"WITH e AS ({SELF}) SELECT count(*) AS vertices, count(*) AS pairs, {PARTS}::BIGINT AS parts, 0 AS first, {PARTS - 1} AS last FROM range({N})",
+    "graph_partitions": f"WITH e AS ({SELF}) SELECT range AS id, {OWNER.format('range')} AS part FROM range({N})",
+    "all_to_all": f"WITH e AS ({SELF}), o AS (SELECT {OWNER.format('src')} AS part FROM e) SELECT part, part AS at, count(*) AS n FROM o GROUP BY 1, 2",
+    "value_types": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in (("empty", "void"), ("bool", "boolean"), ("int", "int"), ("int32", "int"), ("long", "bigint"), ("int64", "bigint"), ("long long", "bigint"), ("float", "float"), ("float32", "float"), ("double", "double"), ("float64", "double"), ("string", "string"))) + ") AS t(name, type)",
+    "scalar_extract": "SELECT l_orderkey AS k, l_linenumber AS n, l_quantity AS q FROM lineitem",
+    "scalar_compare_nan": "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber = 1 THEN NULL WHEN l_quantity < l_linenumber * 10 THEN -1 WHEN l_quantity > l_linenumber * 10 THEN 1 ELSE 0 END AS INTEGER) AS sign, l_linenumber <> 1 AS same, -1 AS mixed, false AS mixed_same FROM lineitem",
     "graph_info": f"WITH e AS ({PS}) SELECT max(greatest(src, dst)) + 1 AS vertex_num, count(*) AS edge_num FROM e",
     "symmetrise": f"WITH e AS ({SELF}) {SYM}",
     "degrees": f"WITH e AS ({OP}), s AS ({SYM}), g AS (SELECT src, count(*) AS n FROM s GROUP BY 1) SELECT range AS id, coalesce(n, 0) AS deg FROM range({N}) LEFT JOIN g ON src = range",

@@ -49,9 +49,14 @@ def checked(column: Column, of: HeaderField) -> Column:
 
 def _scan(spark: SparkSession, path: str, fields: list[HeaderField], options: ReadOptions) -> DataFrame:
     reader = spark.read.schema(struct_of(fields)).option("mode", "FAILFAST").option("escape", '"')
-    # A projected scan would not notice short or long rows.
-    reader = reader.option("enforceSchema", "true").option("header", str(options.has_header).lower())
-    return reader.csv(path)
+    # A projected scan would not notice short or long rows, nor wrong values in columns that nobody selects.
+    reader = reader.option("columnPruning", "false").option("enforceSchema", "true").option("header", str(options.has_header).lower())
+    rows = reader.csv(path)
+    bad = F.lit(False)
+    for f in fields:
+        if not isinstance(f.data_type, T.NullType):
+            bad = bad | F.col(f"`{f.name}`").isNull()
+    return rows.where(F.when(bad, F.raise_error(F.lit("a row with a missing value")).cast("boolean")).otherwise(F.lit(True)))
 
 
 def _select(df: DataFrame, fields: list[HeaderField], ids: list[tuple[str, str]], options: ReadOptions) -> DataFrame:
@@ -92,6 +97,23 @@ def edges_from(df: DataFrame, src: Column | str, dst: Column | str, *payload: Co
     return df.select(*out)
 
 
+def load_edges(spark: SparkSession, path: str, options: ReadOptions | None = None, format: str = "") -> DataFrame:
+    """Edges of a file or folder in any format that Spark reads, by ``format`` or else the path's ending; CSV if that says nothing.
+
+    Other formats than CSV have schemas of their own: ids must be integers from 0 to 4294967295, and nulls fail here too.
+    """
+    options = options or ReadOptions()
+    ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    format = format or (ending if ending in ("parquet", "orc", "json", "avro") else "csv")
+    if format == "csv":
+        return read_edges(spark, path, options)
+    df = spark.read.format(format).load(path)
+    names = {"int": "int", "bigint": "uint", "float": "float", "double": "double", "string": "string"}
+    kinds = {f.name: names.get(f.dataType.simpleString(), "") for f in df.schema}
+    fields = [HeaderField(n, "uint" if n in (options.from_column, options.to_column) and k in ("int", "uint") else "long" if k == "uint" else k) for n, k in kinds.items()]
+    return _select(df, fields, [(options.from_column, "src"), (options.to_column, "dst")], options)
+
+
 def write_edges(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Writes edges as CSV without a header line; the payload's fields follow the two ids."""
     cols = [F.col("src"), F.col("dst")]

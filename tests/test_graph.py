@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spindle.operators import aggregate, partition
 from spindle.operators.graph import Graph
@@ -85,7 +86,7 @@ def test_reductions(spark):
 
 
 def test_loop_partitions():
-    assert [loop_partitions(x, 8) for x in (0, 10, 10**6, 10**8, 10**10)] == [1, 1, 3, 25, 2500]
+    assert [loop_partitions(x, 8) for x in (0, 10, 10**6, 10**8, 10**10)] == [1, 1, 8, 25, 2500]
 
 
 def test_streaming_degrees(spark, tmp_path):
@@ -94,3 +95,26 @@ def test_streaming_degrees(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.id: r.deg for r in spark.table("degs").collect()} == {0: 1, 1: 3}
+
+
+def test_hub_in_pieces(spark):
+    """A star, a second hub and a tail have the same ranks whether or not links of hubs are split."""
+    rows = [(0, i) for i in range(1, 400)] + [(400, i) for i in range(200, 500)] + [(600, 601), (601, 601)]
+    g = graph(spark, rows)
+    whole = {r.id: r.pr for r in pagerank(g, 12).collect()}
+    split = {r.id: r.pr for r in pagerank(g, 12, hub_links=50).collect()}
+    assert whole.keys() == split.keys() and all(abs(whole[i] - split[i]) < 1e-9 for i in whole)
+
+
+def test_graph_holds_its_partitions(spark):
+    g = Graph(graph(spark, [(0, 9), (3, 4), (9, 9)]).edges, 3)
+    assert [r.part for r in g.partitioned_vertices().orderBy("id").collect()] == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+    assert sorted((r.src, r.dst, r.part) for r in g.partitioned_edges().collect()) == [(0, 9, 0), (0, 9, 2), (3, 4, 0), (3, 4, 1), (9, 9, 2)]
+    h = Graph(g.edges, 3, hashed=True).partitioned_vertices().collect()
+    assert len(h) == 10 and {r.part for r in h} <= {0, 1, 2}
+
+
+def test_all_to_all(spark):
+    df = spark.range(50).selectExpr("id", "cast(id % 3 as int) as to")
+    got = aggregate.all_to_all(df, "to", 3).select("to", F.spark_partition_id().alias("at")).collect()
+    assert len(got) == 50 and all(r.to == r.at for r in got)

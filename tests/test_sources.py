@@ -4,7 +4,7 @@ import gzip
 
 import pytest
 
-from spindle.sources.edges import ReadOptions, edges_from, read_edges, read_vertices, write_edges
+from spindle.sources.edges import ReadOptions, edges_from, load_edges, read_edges, read_vertices, write_edges
 from spindle.sources.schema import data_type, parse_header
 
 HEADER = "from:uint,to:uint,i:int,f:f32,s:string"
@@ -67,3 +67,35 @@ def test_vertices_other_names_and_write(spark, tmp_path):
     write_edges(e, str(tmp_path / "out"))
     back = read_edges(spark, str(tmp_path / "out"), ReadOptions(has_header=False, header="from:u32,to:u32,t:string", include_columns=("t",)))
     assert [(r.src, r.dst, r.data.t) for r in back.collect()] == [(1, 2, "q")]
+
+
+@pytest.mark.parametrize("columns", [(), ("i",), ("t",), ("i", "t")])
+@pytest.mark.parametrize("row", ["3,4", "3,4,7", "5,6,7,b,extra", "8,9,x,c", "8,9,,c", "8,,7,c", ",9,7,c"])
+def test_bad_rows_fail_whatever_is_selected(spark, tmp_path, columns, row):
+    path = tmp_path / "e.csv"
+    path.write_text(f"from:uint,to:uint,i:int,t:string\n1,2,3,a\n{row}\n")
+    edges = read_edges(spark, str(path), ReadOptions(include_columns=columns))
+    with pytest.raises(Exception):  # noqa: B017
+        edges.collect()
+    with pytest.raises(Exception):  # noqa: B017
+        edges.select("dst").collect()
+    with pytest.raises(Exception):  # noqa: B017
+        edges.count()
+
+
+@pytest.mark.parametrize("format", ["parquet", "orc", "json", "csv"])
+def test_formats(spark, tmp_path, format):
+    df = spark.createDataFrame([(1, 2, 0.5), (2, 3, 1.5)], "from long, to long, w double")
+    path = f"{tmp_path}/e.{format}"
+    df.write.format(format).save(path)
+    options = ReadOptions(has_header=False, header="from:uint,to:uint,w:double" if format == "csv" else "", include_columns=("w",))
+    got = load_edges(spark, path, options)
+    assert sorted((r.src, r.dst, r.data.w) for r in got.collect()) == [(1, 2, 0.5), (2, 3, 1.5)]
+    with pytest.raises(ValueError):
+        load_edges(spark, path, ReadOptions(has_header=False, header=options.header, from_column="no"))
+
+
+def test_wrong_ids_of_other_formats(spark, tmp_path):
+    spark.createDataFrame([(-1, 2)], "from long, to long").write.parquet(f"{tmp_path}/e.parquet")
+    with pytest.raises(Exception, match="out of range"):
+        load_edges(spark, f"{tmp_path}/e.parquet").collect()
