@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindle.llm import decontaminate, jaccard_join, language, packing
-from spindle.session import materialise
+from spindle.session import keep, materialise, scratch
 
 #: Ids to drop are broadcast up to this number, 16 bytes each; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -23,35 +25,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of linked documents, the one with the smallest id.
+    """Keeps, of each group of linked rows, the one with the smallest id; rows without a word are in no group.
 
-    Rows without an id cannot be named and stay. Of rows that repeat id and text one stays; other rows of one id are
-    judged by that id: they stay if it is the smallest of a group.
+    Groups are of rows, named by their places in the table, so rows that repeat an id or have none are judged like any
+    other: one of each group stays, ids before nulls, the first place of equal ids. ``docs`` must be a written table, as
+    the stage before leaves it, so that places stay the same.
     """
-    classes = materialise(jaccard_join.jaccard_classes(docs.select("doc_id", "text")).select("doc_id", "component_id", "n_links"), "classes")
-    kept = classes.where("component_id = doc_id").select("doc_id")
-    gone = classes.where("component_id <> doc_id").select("doc_id").join(kept, "doc_id", "left_anti").distinct()
-    gone = materialise(gone.withColumnRenamed("doc_id", "id_to_drop"), "gone")
+    row = next(n for n in itertools.chain(["row"], (f"row_{i}" for i in itertools.count())) if n not in docs.columns)
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    with scratch(spark):
+        classes = jaccard_join.jaccard_classes(placed.select(row, "text"), id_col=row)
+        linked = classes.where("n_links > 0").select(F.col("doc_id").alias("at"), "component_id")
+        ids = placed.select(F.col(row).alias("at"), F.col("doc_id"))
+        members = materialise(linked.join(ids, "at"), "members")
+        first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("first"))
+        gone = keep(materialise(members.select("at").join(first.select(F.col("first.at").alias("at")), "at", "left_anti"), "gone"))
     small = gone.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if small else gone, docs["doc_id"] == gone["id_to_drop"], "left_anti")
-    # Rows that repeat an id are rare; only theirs are dealt out by id and text.
-    twice = classes.where("n_links > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id_twice"))
-    twice = materialise(twice, "twice")
-    n = twice.count()
-    if not n:
-        return out
-    side = F.broadcast(twice) if n <= BROADCAST_IDS else twice
-    same = out["doc_id"] == twice["id_twice"]
-    return out.join(side, same, "left_anti").unionByName(out.join(side, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return placed.join(F.broadcast(gone) if small else gone, placed[row] == gone["at"], "left_anti").drop(row)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of the benchmark."""
+    """Drops the documents that hold a passage of the benchmark; null and wordless texts, and null ids, stay."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left: a row for each piece of a document."""
+    """Packs what is left: a row for each piece of a document. A null text is the end id alone; null ids stay null."""
     return packing.pack(docs)
 
 
@@ -64,7 +63,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; each result but the last is written and read again."""
+    """Applies the stages to ``documents``; each result but the last is written and read again.
+
+    An empty table gives no rows; further columns are carried along up to the last stage, whatever their names.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
