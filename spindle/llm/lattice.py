@@ -36,6 +36,8 @@ CLASSES = 8
 ROUNDS = 2
 FREQUENT, LONGEST = 1 << 17, 64
 FLUSH = 150_000
+#: Characters below this code have their spelling in a table.
+_PLAIN = 0x800
 END = b""
 _MUL = np.uint64(0x9E3779B97F4A7C55)
 _LOG10 = np.log(10.0)
@@ -67,13 +69,24 @@ class Pieces:
     byte_ids: np.ndarray
 
     def __post_init__(self) -> None:
-        codes = [np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in self.strings]
-        self.longest = max(map(len, codes), default=1)
-        keys = np.array([_code_hash(c) for c in codes], np.uint64)
+        self.longest = max(map(len, self.strings), default=1)
+        ends, starts = [], []
+        for s in self.strings:
+            h = 0
+            for c in map(ord, s):
+                h = (h * int(_MUL) + c + 1) & (2**64 - 1)
+                starts.append(h)
+            ends.append(h)
+        keys = mix(np.array(ends, np.uint64))
         by = np.argsort(keys)
         self.keys, self.order = keys[by], by
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        # Hashes that begin a piece: a run of characters that is not among them need not be followed further.
+        self.begins = np.zeros(1 << 20, bool)
+        self.begins[(mix(np.array(starts, np.uint64)) >> np.uint64(44)).astype(np.int64)] = True
+        plain = np.arange(_PLAIN, dtype=np.uint32)
+        self.plain = [self._spelled(plain, x, self.bytes_later) for x in (self.bytes_first, self.bytes_later)]
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the hashes are pieces, and their places."""
@@ -82,14 +95,22 @@ class Pieces:
         hit = self.keys[k] == h[at]
         return at[hit], self.order[k[hit]]
 
-    def spelled(self, codes: np.ndarray, first: bool) -> np.ndarray:
-        """Log weights of characters spelled in byte pieces."""
-        chars, back = np.unique(codes, return_inverse=True)
+    @staticmethod
+    def _spelled(codes: np.ndarray, weights: np.ndarray, later: np.ndarray) -> np.ndarray:
         cost = []
-        for c in chars.tolist():
+        for c in codes.tolist():
             b = list(chr(c).encode("utf-8", "surrogatepass"))
-            cost.append((self.bytes_first if first else self.bytes_later)[b[0]] + sum(self.bytes_later[x] for x in b[1:]))
-        return np.array(cost)[back] if len(chars) else np.zeros(0)
+            cost.append(weights[b[0]] + sum(later[x] for x in b[1:]))
+        return np.array(cost)
+
+    def spelled(self, codes: np.ndarray, first: bool) -> np.ndarray:
+        """Log weights of characters spelled in byte pieces."""
+        out = self.plain[0 if first else 1][np.minimum(codes, _PLAIN - 1)]
+        far = np.flatnonzero(codes >= _PLAIN)
+        if len(far):
+            chars, back = np.unique(codes[far], return_inverse=True)
+            out[far] = self._spelled(chars, self.bytes_first if first else self.bytes_later, self.bytes_later)[back]
+        return out
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Natural log of the sum over all segmentations of each word."""
@@ -106,17 +127,22 @@ class Pieces:
     def _arcs(self, codes: np.ndarray):
         """``(i, j, rows, places, weights)`` of the arcs from position i to j; places are null for spelled characters."""
         m, n = codes.shape
-        c = codes.astype(np.uint64) + np.uint64(1)
+        c = np.ascontiguousarray(codes.T).astype(np.uint64) + np.uint64(1)
         for i in range(n):
             yield i, i + 1, None, None, self.spelled(codes[:, i], i == 0)
             weight = self.first if i == 0 else self.later
-            h = np.zeros(m, np.uint64)
+            live, h = np.arange(m), np.zeros(m, np.uint64)
             for j in range(i, min(n, i + self.longest)):
-                h = h * _MUL + c[:, j]
-                at, k = self.find(mix(h))
+                h = h * _MUL + c[j, live]
+                mixed = mix(h)
+                go = np.flatnonzero(self.begins[(mixed >> np.uint64(44)).astype(np.int64)])
+                if not len(go):
+                    break
+                live, h = live[go], h[go]
+                at, k = self.find(mixed[go])
                 on = np.isfinite(weight[k])
                 if on.any():
-                    at, k = at[on], k[on]
+                    at, k = live[at[on]], k[on]
                     yield i, j + 1, at, k, weight[k]
 
     def _forward(self, codes: np.ndarray, arcs=None) -> np.ndarray:
@@ -154,13 +180,6 @@ class Pieces:
         return first, later
 
 
-def _code_hash(codes: np.ndarray) -> int:
-    h = 0
-    for c in codes.tolist():
-        h = (h * int(_MUL) + c + 1) & (2**64 - 1)
-    return int(mix(np.array([h], np.uint64))[0])
-
-
 def pieces_from(path: str, first: np.ndarray, later: np.ndarray, words: float) -> Pieces:
     """Weights from counts by piece id, half a count added to each."""
     sp = _tokenizer(path)

@@ -119,3 +119,29 @@ def test_probabilities_of_words_sum_to_less_than_one(spark):
     sub = np.array([0.1, 0.2, 0.3])
     p, q = t.weights([own, np.zeros(3)], c, sub)
     assert p.sum() <= 1 and q.sum() <= 1 and (p > 0).all()
+
+
+def test_document_score_against_enumeration(spark):
+    rows = [(1, "the cat the", False, "a"), (2, "a thing", False, "b"), (3, "The zq thing", True, None), (4, None, True, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, o boolean, lang string")
+    got = {r.doc_id: r.score for r in lattice.score(docs, F.col("o")).collect()}
+    learnt = {lang: Counter([*plain(text), ""]) for _, text, out, lang in rows if not out}
+    every = learnt["a"] + learnt["b"]
+    p = lattice.fit_pieces(spark.createDataFrame([(bytearray(w.encode()),) for w in every if w], "word binary"), PATH)
+
+    def chance(word, c, below):
+        n, v = sum(c.values()), len(c)
+        return (c[word] + v * below) / (n + v)
+
+    for d, text, _, _ in rows:
+        words = [*plain(text), ""]
+        total = sum(0.5 * math.prod(chance(w, c, chance(w, every, enumerate_paths(p, w))) for w in words) for c in learnt.values())
+        assert got[d] == pytest.approx(math.log10(total), rel=1e-9)
+
+
+def test_spelling_of_near_and_far_characters():
+    p = model()
+    chars = ["a", "é", chr(lattice._PLAIN - 1), chr(lattice._PLAIN), "中", "🙂"]
+    for first, lead in ((True, p.bytes_first), (False, p.bytes_later)):
+        want = [lead[c.encode()[0]] + sum(p.bytes_later[x] for x in c.encode()[1:]) for c in chars]
+        assert p.spelled(np.array([ord(c) for c in chars], np.uint32), first) == pytest.approx(want)
