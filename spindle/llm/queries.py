@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import chat, decontaminate, html, jaccard_join, language, lattice, licenses, packing, token_store, topk
+from spindle.llm import chat, decontaminate, fim, html, jaccard_join, language, lattice, licenses, packing, token_store, topk
 from spindle.session import register, shared_dir
 
 
@@ -83,6 +83,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op2_language_id": op2_language_id,
@@ -94,6 +100,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_id_output": op8_token_id_output,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 SET_SQL = r"""
@@ -108,6 +115,22 @@ o AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) A
 l AS MATERIALIZED (SELECT u, v FROM o WHERE 100 * x >= 75 * (n + m - x)),
 """
 
+FIM_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+r AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, array_to_string(u[1:least(x, y)], '') AS pre, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS mid, array_to_string(u[greatest(x, y) + 1:], '') AS suf FROM r)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
 LLM_ORACLES: dict[str, str] = {
     "op1_exact_topk_search": r"""
 WITH v AS MATERIALIZED (
@@ -141,4 +164,5 @@ d AS (SELECT u AS doc_id, count(*) AS n_links FROM l GROUP BY 1)
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id) AS component_id, coalesce(n_links, 0) AS n_links
 FROM s LEFT JOIN c ON c.doc_id = s.doc_id LEFT JOIN d ON d.doc_id = s.doc_id
 """,
+    "op11_fill_in_middle": FIM_SQL,
 }

@@ -10,7 +10,7 @@ from test_decontaminate import brute as passages
 from test_jaccard_join import corpus
 from test_tokens import check_packing
 
-from spindle.session import materialise
+from spindle.session import materialise, settings
 
 
 def documents(spark):
@@ -53,6 +53,18 @@ def test_stages(spark, tmp_path):
     assert n <= bound + 1
 
 
+def test_rows_keep_their_numbers(spark, tmp_path):
+    """What the second stage drops does not follow how the table is split, as when executors come and go between its jobs."""
+    rows = [(i, f"the very same words of group {i // 2} again and again" if i % 4 < 2 else f"text {i} by itself with number {i * i} at its end") for i in range(400)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(path)
+    with settings(spark, spark__sql__files__minPartitionNum="16", spark__sql__files__maxPartitionBytes="1k"):
+        left = p.ngram_jaccard_join(spark, spark.read.parquet(path), "")
+    with settings(spark, spark__sql__files__minPartitionNum="1", spark__sql__files__openCostInBytes="1"):
+        got = sorted(r.doc_id for r in left.collect())
+    assert got == [i for i, _ in rows if i % 4 != 1]
+
+
 def test_foreign_texts_and_noise_go(spark):
     """The first stage drops what its model rejects: letters that are no language, and languages not learnt."""
     from pyspark.sql import functions as F
