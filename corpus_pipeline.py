@@ -27,12 +27,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of linked rows, the one with the smallest id; rows without a word are in no group.
 
-    Groups are of rows, named by their places in the table, so rows that repeat an id or have none are judged like any
-    other: one of each group stays, ids before nulls, the first place of equal ids. ``docs`` must be a written table, as
-    the stage before leaves it, so that places stay the same.
+    Groups are of rows, each named by a number of its own, so rows that repeat an id or have none are judged like any
+    other: one of each group stays, ids before nulls, the first number of equal ids. The numbers are written beside the
+    rows once, before anything is judged by them: numbers made anew in each job would follow the splits of the files,
+    and so the number of cores at the time.
     """
     row = next(n for n in itertools.chain(["row"], (f"row_{i}" for i in itertools.count())) if n not in docs.columns)
-    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    placed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     with scratch(spark):
         classes = jaccard_join.jaccard_classes(placed.select(row, "text"), id_col=row)
         linked = classes.where("n_links > 0").select(F.col("doc_id").alias("at"), "component_id")
