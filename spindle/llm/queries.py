@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import chat, decontaminate, fim, html, jaccard_join, language, lattice, licenses, packing, token_store, topk
+from spindle.llm import chat, decontaminate, fim, html, itq, jaccard_join, language, lattice, licenses, packing, token_store, topk
 from spindle.session import register, shared_dir
 
 
@@ -89,6 +89,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op2_language_id": op2_language_id,
@@ -101,6 +105,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
 }
 
 SET_SQL = r"""
@@ -165,4 +170,16 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id)
 FROM s LEFT JOIN c ON c.doc_id = s.doc_id LEFT JOIN d ON d.doc_id = s.doc_id
 """,
     "op11_fill_in_middle": FIM_SQL,
+    "op12_embedding_near_dedup": r"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT u AS vec_id, v AS root FROM l UNION SELECT r.vec_id, l.v FROM r JOIN l ON l.u = r.root),
+c AS (SELECT vec_id, least(vec_id, min(root)) AS component_id FROM r GROUP BY 1),
+d AS (SELECT u AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_id) AS component_id, coalesce(component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.vec_id = e.vec_id LEFT JOIN d ON d.vec_id = e.vec_id
+""",
 }
