@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindle.llm import chat, decontaminate, fim, html, itq, jaccard_join, language, lattice, licenses, packing, token_store, topk
+from spindle.llm import chat, decontaminate, drake, fim, html, itq, jaccard_join, language, lattice, licenses, packing, token_store, topk
 from spindle.session import register, shared_dir
 
 
@@ -93,6 +93,10 @@ def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk_search": op1_exact_topk_search,
     "op2_language_id": op2_language_id,
@@ -106,6 +110,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 SET_SQL = r"""
@@ -136,6 +141,25 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)
 FROM p
 """
 
+def _clusters_sql(rounds: int, clusters: int) -> str:
+    """The rounds written out; all numbers are integers below 2^53, held as doubles."""
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "w AS MATERIALIZED (SELECT *, list_inner_product(q, q) AS s FROM v)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, q FROM v ORDER BY sha256('3:' || vec_id) LIMIT {clusters})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(w.q) AS q, min({{'d': s - 2 * list_inner_product(w.q, c.q) + list_inner_product(c.q, c.q), 'k': k}}) AS b FROM w, c{i} c GROUP BY r)")
+        if i < rounds:
+            means = f"SELECT k, pos, floor(sum(x) / count(*)) AS m FROM (SELECT b.k AS k, unnest(q) AS x, unnest(range(64)) AS pos FROM a{i}) GROUP BY 1, 2"
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN (SELECT k, list(m ORDER BY pos) AS q FROM ({means}) GROUP BY 1) m ON m.k = c.k)")
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, b.k::INTEGER AS cluster, b.d::BIGINT AS distance, (sum(b.d) OVER (PARTITION BY b.k))::BIGINT AS cluster_inertia, (sum(b.d) OVER ())::BIGINT AS inertia, "
+        f"sha256(array_to_string(list_transform(c.q, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} c ON c.k = b.k"
+    )
+
+
 LLM_ORACLES: dict[str, str] = {
     "op1_exact_topk_search": r"""
 WITH v AS MATERIALIZED (
@@ -170,6 +194,7 @@ SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, coalesce(component_id, s.doc_id)
 FROM s LEFT JOIN c ON c.doc_id = s.doc_id LEFT JOIN d ON d.doc_id = s.doc_id
 """,
     "op11_fill_in_middle": FIM_SQL,
+    "op13_centroid_clustering": _clusters_sql(10, 8),
     "op12_embedding_near_dedup": r"""
 WITH RECURSIVE v AS MATERIALIZED (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
