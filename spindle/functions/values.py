@@ -48,9 +48,8 @@ def _number_type(df: DataFrame, left: str, right: str) -> T.DataType:
     return a
 
 
-def _exact(operator: str, left: str, right: str, kind: T.DataType) -> Column:
-    """Integer results are checked against the type's range, whatever the session's ANSI setting is."""
-    a, b = F.col(left), F.col(right)
+def exact(operator: str, a: Column, b: Column, kind: T.DataType) -> Column:
+    """``a + b``, ``a - b`` or ``a * b`` of one type. Integers are checked against the type's range, whatever the session's ANSI setting is."""
     if isinstance(kind, FLOATS):
         return {"+": a + b, "-": a - b, "*": a * b}[operator].cast(kind)
     out = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[operator](a, b)
@@ -58,36 +57,39 @@ def _exact(operator: str, left: str, right: str, kind: T.DataType) -> Column:
     return F.when(overflow, F.raise_error(F.lit(f"overflow of {kind.simpleString()}")).cast(kind)).otherwise(out)
 
 
+def quotient(a: Column, b: Column, kind: T.DataType) -> Column:
+    """``a / b`` of one type: integers truncate toward zero, floats give an infinity or NaN for a zero divisor."""
+    if isinstance(kind, INTEGERS):
+        name = kind.simpleString()
+        low = F.lit(-(2 ** (31 if isinstance(kind, T.IntegerType) else 63))).cast(kind)
+        bad = (b == 0) | ((a == low) & (b == -1))
+        safe = F.when(bad, F.lit(1).cast(kind)).otherwise(b)
+        out = F.call_function("div", a, safe).cast(kind)
+        return F.when(bad, F.raise_error(F.lit(f"division of {name} by zero, or overflow")).cast(kind)).otherwise(out)
+    inf, nan = F.lit(float("inf")).cast(kind), F.lit(float("nan")).cast(kind)
+    negative_zero = b.cast("string").startswith("-")
+    at_zero = F.when(F.isnan(a) | (a == 0), nan).otherwise(F.when((a > 0) != negative_zero, inf).otherwise(-inf))
+    return F.when(b == 0, at_zero).otherwise((a / F.when(b != 0, b)).cast(kind))
+
+
 def add(df: DataFrame, left: str, right: str) -> Column:
     """``left + right``."""
-    return _exact("+", left, right, _number_type(df, left, right))
+    return exact("+", F.col(left), F.col(right), _number_type(df, left, right))
 
 
 def subtract(df: DataFrame, left: str, right: str) -> Column:
     """``left - right``."""
-    return _exact("-", left, right, _number_type(df, left, right))
+    return exact("-", F.col(left), F.col(right), _number_type(df, left, right))
 
 
 def multiply(df: DataFrame, left: str, right: str) -> Column:
     """``left * right``."""
-    return _exact("*", left, right, _number_type(df, left, right))
+    return exact("*", F.col(left), F.col(right), _number_type(df, left, right))
 
 
 def divide(df: DataFrame, left: str, right: str) -> Column:
     """``left / right``: integers truncate toward zero, floats give an infinity or NaN for a zero divisor."""
-    kind = _number_type(df, left, right)
-    a, b = F.col(left), F.col(right)
-    if isinstance(kind, INTEGERS):
-        name = kind.simpleString()
-        low = F.lit(-(2 ** (31 if isinstance(kind, T.IntegerType) else 63))).cast(kind)
-        bad = (b == 0) | ((a == low) & (b == -1))
-        safe = F.when(bad, F.lit(1).cast(kind)).otherwise(b)
-        quotient = F.call_function("div", a, safe).cast(kind)
-        return F.when(bad, F.raise_error(F.lit(f"division of {name} by zero, or overflow")).cast(kind)).otherwise(quotient)
-    inf, nan = F.lit(float("inf")).cast(kind), F.lit(float("nan")).cast(kind)
-    negative_zero = b.cast("string").startswith("-")
-    at_zero = F.when(F.isnan(a) | (a == 0), nan).otherwise(F.when((a > 0) != negative_zero, inf).otherwise(-inf))
-    return F.when(b == 0, at_zero).otherwise((a / F.when(b != 0, b)).cast(kind))
+    return quotient(F.col(left), F.col(right), _number_type(df, left, right))
 
 
 def parse(text: Column, kind: str) -> Column:

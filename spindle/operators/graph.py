@@ -5,10 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spindle.operators.partition import Partitioner, hash_partitioner, partition_edges, partition_vertices, range_partitioner
+from spindle.session import keep, materialise, scratch
+
+#: Neighbours in one row of blocked adjacency.
+BLOCK_ENTRIES = 4096
 
 
 def graph_info(edges: DataFrame) -> DataFrame:
@@ -30,6 +37,58 @@ def edge_ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg"))
 
 
+def _block_task(most: int):
+    """Cuts the runs of each vertex, which come sorted, into rows of at most ``most`` entries."""
+
+    def cut(src: np.ndarray, entry: pa.Array, last: bool):
+        """Rows of the blocks that are whole, and where the one that may go on begins."""
+        starts = np.flatnonzero(np.append(True, src[1:] != src[:-1]))
+        size = np.diff(np.append(starts, len(src)))
+        blocks = -(-size // most)
+        nth = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        edge = np.append(np.repeat(starts, blocks) + most * nth, len(src))
+        if not last and edge[-1] - edge[-2] < most:
+            edge = edge[:-1]
+        lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), entry)
+        cols = [pa.array(src[edge[:-1]]), lists, pa.array(np.diff(edge).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(cols, ["id", "nbrs", "size"]), int(edge[-1])
+
+    def run(source):
+        rest = None
+        for batch in source:
+            whole = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            if whole.num_rows:
+                out, at = cut(whole.column("src").to_numpy(), whole.column("entry"), False)
+                rest = whole.slice(at)
+                if out.num_rows:
+                    yield out
+        if rest is not None and rest.num_rows:
+            yield cut(rest.column("src").to_numpy(), rest.column("entry"), True)[0]
+
+    return run
+
+
+def adjacency_blocks(sym_edges: DataFrame, most: int = BLOCK_ENTRIES) -> DataFrame:
+    """``(id, block, start, nbrs)`` of edges in both directions: see :meth:`Graph.blocks`. Writes the rows once."""
+    if most < 1:
+        raise ValueError("a block has one entry at least")
+    fields = ["dst", "data"] if "data" in sym_edges.columns else ["dst"]
+    entry = F.struct(F.col("dst").alias("to"), *fields[1:]).alias("entry")
+    tied = sym_edges.withColumn("tie", F.monotonically_increasing_id())
+    ordered = tied.repartitionByRange("src", *fields, "tie").sortWithinPartitions("src", *fields, "tie").select("src", entry)
+    row = T.StructType([T.StructField("id", T.LongType()), T.StructField("nbrs", T.ArrayType(ordered.schema["entry"].dataType)), T.StructField("size", T.IntegerType())])
+    with scratch(sym_edges.sparkSession):
+        cut = ordered.mapInArrow(_block_task(most), row).withColumn("place", F.monotonically_increasing_id())
+        rows = keep(materialise(cut, "blocks"))
+        # Only vertices of several rows have anything to count, and their rows' sizes go without the neighbours.
+        before = Window.partitionBy("id").orderBy("place")
+        sizes = rows.select("id", "place", "size").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("n > 1")
+        numbers = sizes.select("id", "place", (F.row_number().over(before) - 1).cast("long").alias("block"), (F.sum("size").over(before) - F.col("size")).alias("start"))
+        numbers = keep(materialise(numbers, "numbers"))
+    got = rows.join(numbers, ["id", "place"], "left")
+    return got.select("id", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("start", F.lit(0)).alias("start"), "nbrs")
+
+
 @dataclass
 class Graph:
     """Edges ``(src, dst[, data])`` with what follows from them, in ``parts`` partitions; every table is a lazy DataFrame."""
@@ -80,13 +139,22 @@ class Graph:
     def adjacency(self) -> DataFrame:
         """``(id, nbrs)``: neighbours of all vertices as sorted arrays of ``(to[, data])``.
 
-        One row holds all neighbours of a vertex. For vertices of unbounded degree use :meth:`neighbours`.
+        One row holds all neighbours of a vertex. For vertices of unbounded degree use :meth:`blocks` or :meth:`neighbours`.
         """
         entry = [F.col("dst").alias("to")] + (["data"] if "data" in self.edges.columns else [])
         lists = self.sym_edges.groupBy(F.col("src").alias("id")).agg(F.sort_array(F.collect_list(F.struct(*entry))).alias("nbrs"))
         empty = F.array().cast(lists.schema["nbrs"].dataType)
         return self.vertices().join(lists, "id", "left").select("id", F.coalesce("nbrs", empty).alias("nbrs"))
 
+    def blocks(self, most: int = BLOCK_ENTRIES) -> DataFrame:
+        """``(id, block, start, nbrs)``: the adjacency of all vertices with edges, ``most`` entries a row at most.
+
+        ``block`` counts a vertex's rows from 0, ``start`` is how many entries stand before the row, and the entries of all
+        rows in order are the sorted array that :meth:`adjacency` has. Both directions are sorted by ranges of vertex and
+        neighbour, so tasks share a vertex of many neighbours, even if all are the same one; each task cuts its runs.
+        """
+        return adjacency_blocks(self.sym_edges, most)
+
     def neighbours(self, vertex: int) -> DataFrame:
         """The adjacency entries of one vertex as rows."""
         return self.sym_edges.where(F.col("src") == vertex).drop("src").withColumnRenamed("dst", "to")

@@ -18,11 +18,18 @@ def range_partitioner(vertex_num: int, parts: int) -> Partitioner:
     return lambda vid: F.least(F.expr("bigint(0)") + F.floor(vid / chunk), F.lit(parts - 1)).cast("int")
 
 
+# Fixed value: an odd number near 2^31 times the golden ratio's fraction, below 2^31 so that products stay in 63 bits.
+SPREAD = 1_327_217_885
+
+
 def hash_partitioner(parts: int) -> Partitioner:
-    """Partitions by hash: an extension, usable wherever a range partitioner is."""
-    if parts < 1:
+    """Partitions by a multiplicative hash: an extension, usable wherever a range partitioner is.
+
+    Neighbouring ids go to different partitions, and every engine with 64-bit integers computes the same ones.
+    """
+    if not 1 <= parts < 2**31:
         raise ValueError("at least one partition is needed")
-    return lambda vid: F.pmod(F.xxhash64(vid), F.lit(parts)).cast("int")
+    return lambda vid: F.shiftright((F.pmod(vid, F.lit(2**32)) * SPREAD).bitwiseAND(2**32 - 1) * parts, 32).cast("int")
 
 
 def partition_vertices(vertices: DataFrame, partitioner: Partitioner) -> DataFrame:
@@ -46,8 +53,3 @@ def partition_bounds(spark, vertex_num: int, parts: int) -> DataFrame:
     start = F.least(F.col("id") * chunk, F.lit(vertex_num))
     end = F.when(F.col("id") == parts - 1, F.lit(vertex_num)).otherwise(F.least((F.col("id") + 1) * chunk, F.lit(vertex_num)))
     return spark.range(parts).select(F.col("id").cast("int").alias("part"), start.cast("long").alias("start_id"), end.cast("long").alias("end_id"))
-
-
-def place_by_source(edges: DataFrame, parts: int) -> DataFrame:
-    """Physically deals edges out by ranges of their first end."""
-    return edges.repartitionByRange(parts, "src")

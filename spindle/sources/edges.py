@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +26,10 @@ class ReadOptions:
 
 
 def read_fields(spark: SparkSession, path: str, options: ReadOptions) -> list[HeaderField]:
-    """The fields of a file: of ``options.header`` if set, else of its first line."""
+    """The fields of a file: of ``options.header`` if set, else of the first line of one of the files.
+
+    The other files of a folder are not read here: the scan compares each file's own first line with these fields.
+    """
     if options.header:
         return parse_header(options.header)
     if not options.has_header:
@@ -48,10 +52,18 @@ def checked(column: Column, of: HeaderField) -> Column:
 
 
 def _scan(spark: SparkSession, path: str, fields: list[HeaderField], options: ReadOptions) -> DataFrame:
-    reader = spark.read.schema(struct_of(fields)).option("mode", "FAILFAST").option("escape", '"')
+    reader = spark.read.option("mode", "FAILFAST").option("escape", '"').option("header", str(options.has_header).lower())
     # A projected scan would not notice short or long rows, nor wrong values in columns that nobody selects.
-    reader = reader.option("columnPruning", "false").option("enforceSchema", "true").option("header", str(options.has_header).lower())
-    rows = reader.csv(path)
+    reader = reader.option("columnPruning", "false")
+    schema = struct_of(fields)
+    if options.has_header and not options.header:
+        # The fields came from one file: the scan holds the first line of every file against them, entry by entry, as it
+        # gets there, and fails on a file that has others or in another order. The entries are the columns' names for that.
+        entries = [f"{f.name}:{f.token}" for f in fields]
+        named = T.StructType([T.StructField(e, f.dataType) for e, f in zip(entries, schema, strict=True)])
+        rows = reader.schema(named).option("enforceSchema", "false").csv(path).toDF(*[f.name for f in fields])
+    else:
+        rows = reader.schema(schema).option("enforceSchema", "true").csv(path)
     bad = F.lit(False)
     for f in fields:
         if not isinstance(f.data_type, T.NullType):
@@ -73,11 +85,75 @@ def _select(df: DataFrame, fields: list[HeaderField], ids: list[tuple[str, str]]
     return df.select(*out)
 
 
-def read_edges(spark: SparkSession, path: str, options: ReadOptions | None = None) -> DataFrame:
-    """Edges ``(src, dst[, data])`` of a CSV file, gzip included; the payload has ``include_columns`` in their order."""
+@dataclass(frozen=True)
+class BatchPayload:
+    """User code that makes payloads of batches of columns.
+
+    ``make`` gets the included columns of a batch, in their order, as an Arrow batch, and returns one payload for each row:
+    a struct array, or a batch with the fields of ``schema``, a DDL string or a struct type. Fields are taken by name;
+    a field that is missing, has another type or another number of rows fails the query. Batches hold a bounded number
+    of bytes; which rows share one is Spark's affair, so a payload may depend on its own row alone.
+    """
+
+    schema: str | T.StructType
+    make: Callable[[pa.RecordBatch], pa.RecordBatch | pa.StructArray]
+
+    @property
+    def data_type(self) -> T.StructType:
+        return self.schema if isinstance(self.schema, T.StructType) else T.StructType.fromDDL(self.schema)
+
+
+def _payload_task(make: Callable, want: pa.StructType):
+    def run(source):
+        for batch in source:
+            data = batch.column("data")
+            given = pa.RecordBatch.from_arrays(data.flatten(), [f.name for f in data.type])
+            got = make(given)
+            if isinstance(got, pa.StructArray):
+                got = pa.RecordBatch.from_arrays(got.flatten(), [f.name for f in got.type])
+            if not isinstance(got, pa.RecordBatch):
+                raise TypeError(f"a payload of {type(got).__name__}, not of Arrow structs")
+            if got.num_rows != batch.num_rows:
+                raise ValueError(f"{got.num_rows} payloads for {batch.num_rows} rows")
+            if sorted(got.schema.names) != sorted(f.name for f in want):
+                raise ValueError(f"payload fields {got.schema.names}, not {[f.name for f in want]}")
+            fields = []
+            for f in want:
+                have = got.column(f.name)
+                if have.type != f.type:
+                    raise TypeError(f"payload field {f.name} is {have.type}, not {f.type}")
+                fields.append(have)
+            rest = [batch.column(c) for c in batch.schema.names if c != "data"]
+            names = [c for c in batch.schema.names if c != "data"] + ["data"]
+            yield pa.RecordBatch.from_arrays([*rest, pa.StructArray.from_arrays(fields, fields=list(want))], names)
+
+    return run
+
+
+def map_payload(edges: DataFrame, payload: BatchPayload) -> DataFrame:
+    """The edges, or vertices, with the payloads that user code makes of theirs, batch by batch where the rows are."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = payload.data_type
+    rest = [f for f in edges.schema if f.name != "data"]
+    out = T.StructType([*rest, T.StructField("data", kind)])
+    return edges.mapInArrow(_payload_task(payload.make, to_arrow_type(kind)), out)
+
+
+def read_edges(spark: SparkSession, path: str, options: ReadOptions | None = None, payload: BatchPayload | None = None) -> DataFrame:
+    """Edges ``(src, dst[, data])`` of CSV files, gzip included; the payload has ``include_columns`` in their order.
+
+    A folder's files need the same first line, if it is theirs that names the columns: a file with another one fails the
+    query, whatever is selected. With ``payload`` user code makes the payload of the included columns.
+    """
     options = options or ReadOptions()
     fields = read_fields(spark, path, options)
-    return _select(_scan(spark, path, fields, options), fields, [(options.from_column, "src"), (options.to_column, "dst")], options)
+    edges = _select(_scan(spark, path, fields, options), fields, [(options.from_column, "src"), (options.to_column, "dst")], options)
+    if payload is None:
+        return edges
+    if not options.include_columns:
+        raise ValueError("a payload needs include_columns to be made of")
+    return map_payload(edges, payload)
 
 
 def read_vertices(spark: SparkSession, path: str, options: ReadOptions | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spindle.operators import aggregate, partition
+from spindle.operators.placed import place, reopen
+from spindle.operators.traversal import Traversal, positions, resume
 from spindle.operators.graph import Graph
 from spindle.operators.pagerank import loop_partitions, pagerank
 from spindle.streaming.edges import stream_degrees
@@ -36,6 +38,36 @@ def test_degrees_and_ranks(spark, name):
     assert [r.pr for r in pagerank(g).orderBy("id").collect()] == pytest.approx(pr, abs=1e-6)
 
 
+@pytest.mark.parametrize("name", ["star", "loop and tail", "parallel", "gap", "empty"])
+def test_ranks_dealt_out(spark, name):
+    """The loop of large graphs gives the ranks that the loop of small ones does."""
+    edges, _, pr = GRAPHS[name]
+    assert [r.pr for r in pagerank(graph(spark, edges), replicate_bytes=0).orderBy("id").collect()] == pytest.approx(pr, abs=1e-6)
+
+
+def rounds_of(spark, monkeypatch, **options):
+    """The plan of a loop's last rounds, and the settings that it leaves."""
+    plans = []
+    monkeypatch.setattr("spindle.operators.pagerank.ROWS_A_PARTITION", 50)
+    frame = type(spark.range(0))
+    kept = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, eager=True: plans.append(self._jdf.queryExecution().executedPlan().toString()) or kept(self, eager))
+    pagerank(graph(spark, [(i, i + 1) for i in range(50)] + [(0, i) for i in range(50)]), 4, checkpoint_every=2, **options)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    return plans[-1]
+
+
+def test_plans_of_rounds(spark, monkeypatch):
+    """Replicated ranks: a round shuffles nothing. Ranks dealt out: one shuffle a round, of partial sums."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small, large = (rounds_of(spark, monkeypatch, **o).split("InMemoryRelation")[0] for o in ({}, {"replicate_bytes": 0}))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in small and "Exchange hashpartitioning" not in small
+    assert "SortMergeJoin" in large and "BroadcastExchange" not in large and "Exchange hashpartitioning(dst" in large
+
+
 @pytest.mark.parametrize("rounds,want", [(0, [1, 1, 1, 1]), (1, [0.15, 0.575, 1.85, 0.575]), (2, [0.15, 0.93625, 1.1275, 0.93625])])
 def test_first_rounds(spark, rounds, want):
     assert [r.pr for r in pagerank(graph(spark, GRAPHS["path"][0]), rounds).orderBy("id").collect()] == pytest.approx(want)
@@ -102,7 +134,7 @@ def test_hub_in_pieces(spark):
     rows = [(0, i) for i in range(1, 400)] + [(400, i) for i in range(200, 500)] + [(600, 601), (601, 601)]
     g = graph(spark, rows)
     whole = {r.id: r.pr for r in pagerank(g, 12).collect()}
-    split = {r.id: r.pr for r in pagerank(g, 12, hub_links=50).collect()}
+    split = {r.id: r.pr for r in pagerank(g, 12, hub_links=50, replicate_bytes=0).collect()}
     assert whole.keys() == split.keys() and all(abs(whole[i] - split[i]) < 1e-9 for i in whole)
 
 
@@ -118,3 +150,160 @@ def test_all_to_all(spark):
     df = spark.range(50).selectExpr("id", "cast(id % 3 as int) as to")
     got = aggregate.all_to_all(df, "to", 3).select("to", F.spark_partition_id().alias("at")).collect()
     assert len(got) == 50 and all(r.to == r.at for r in got)
+
+
+# --- blocked adjacency ---
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 4096])
+def test_blocks_are_the_adjacency_in_pieces(spark, most):
+    g = graph(spark, [(0, 0), (0, 2), (0, 2), (3, 0), (5, 6), (2, 5)] + [(8, i) for i in range(9, 20)])
+    rows = g.blocks(most).collect()
+    assert all(1 <= len(r.nbrs) <= most for r in rows)
+    lists: dict = {}
+    for r in sorted(rows, key=lambda r: (r.id, r.block)):
+        mine = lists.setdefault(r.id, [])
+        assert r.start == len(mine)
+        mine += [x.to for x in r.nbrs]
+    for k in {r.id for r in rows}:
+        assert sorted(r.block for r in rows if r.id == k) == list(range(sum(r.id == k for r in rows)))
+    want = {r.id: [x.to for x in r.nbrs] for r in g.adjacency().collect() if r.nbrs}
+    assert lists == want
+
+
+def test_blocks_with_payload_and_none(spark):
+    e = spark.createDataFrame([(1, 2, "b"), (1, 2, "a"), (1, 1, None)], "src long, dst long, t string").select("src", "dst", F.struct("t").alias("data"))
+    got = {r.id: [(x.to, x.data.t) for x in r.nbrs] for r in Graph(e).blocks(10).collect()}
+    assert got == {1: [(1, None), (1, None), (2, "a"), (2, "b")], 2: [(1, "a"), (1, "b")]}
+    assert graph(spark, []).blocks().collect() == []
+    with pytest.raises(ValueError):
+        graph(spark, []).blocks(0)
+
+
+def test_a_star_has_no_row_over_the_bound(spark):
+    """A million leaves, and as many copies of one edge more: rows of the hub are bounded and many tasks make them."""
+    leaves = spark.range(1_000_000).select(F.lit(0).cast("long").alias("src"), (F.col("id") + 1).alias("dst"))
+    copies = spark.range(300_000).select(F.lit(0).cast("long").alias("src"), F.lit(7).cast("long").alias("dst"))
+    b = Graph(leaves.unionAll(copies)).blocks(4096)
+    r = b.agg(F.max(F.size("nbrs")).alias("most"), F.sum(F.size("nbrs")).alias("n")).first()
+    hub = b.where("id = 0").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("nbrs")).alias("n"), F.max("block").alias("last"), F.max("start").alias("start")).first()
+    assert r.most <= 4096 and r.n == 2_600_000 and hub.n == 1_300_000 and hub.last == hub.rows - 1 < 400 and 0 < hub.n - hub.start <= 4096
+
+
+# --- placed graphs ---
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_placed_graph(spark, tmp_path):
+    edges = [(0, i) for i in range(1, 60)] + [(0, 7)] * 30 + [(61, 61), (3, 4)]
+    g = graph(spark, edges)
+    p = place(g, 4, path=str(tmp_path / "g"), piece_links=10)
+    assert {r.id: r.deg for r in p.degrees().collect()} == {r.id: r.deg for r in g.degrees().collect()}
+    sym = sorted(tuple(r) for r in g.sym_edges.collect())
+    assert sorted((r.src, r.dst) for r in p.links().collect()) == sym
+    pieces = p.counted().collect()
+    assert sum(r.n for r in pieces) == len(sym) and max(r.n for r in pieces) < 40 and sum(r.id == 0 for r in pieces) == 9
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for q in (p.degrees(), p.counted(), p.with_sources(), reopen(spark, p.path, 4).with_sources()):
+            assert "Exchange" not in plan(q)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    again = reopen(spark, p.path, 4)
+    assert sorted(map(tuple, again.with_sources().collect())) == sorted(map(tuple, p.with_sources().collect()))
+    assert {(r.src, r.deg) for r in p.with_sources().collect()} == {(r.id, r.deg) for r in g.degrees().collect() if r.deg}
+    p.drop()
+    with pytest.raises(ValueError):
+        place(g, piece_links=0)
+
+
+def test_placed_payload_and_empty(spark):
+    e = spark.createDataFrame([(1, 2, "b")], "src long, dst long, t string").select("src", "dst", F.struct("t").alias("data"))
+    assert sorted((r.src, r.dst, r.data.t) for r in place(Graph(e), 2).links().collect()) == [(1, 2, "b"), (2, 1, "b")]
+    none = place(graph(spark, []), 2)
+    assert none.links().collect() == [] and [tuple(r) for r in none.degrees().collect()] == [(0, 0)] and [r.n for r in none.counted().collect()] == [0]
+
+
+# --- tree reduction and all-gather ---
+
+
+def test_tree_of_a_million_ranks(spark):
+    """Equal to the plain fold, with gaps and negative ranks; no array is longer than the fan-in."""
+    df = spark.range(1_000_000).selectExpr("id * 3 - 500000 AS rank", "struct(id * 7 % 1008 + 1 AS m, id % 1009 AS c) AS v")
+    then = lambda a, b: F.struct((a["m"] * b["m"] % 1009).alias("m"), ((a["c"] * b["m"] + b["c"]) % 1009).alias("c"))
+    m, c = 1, 0
+    for i in range(1_000_000):
+        mm, cc = i * 7 % 1008 + 1, i % 1009
+        m, c = m * mm % 1009, (c * mm + cc) % 1009
+    assert tuple(aggregate.tree_reduce(df.repartition(7), "rank", "v", then, fan_in=100).first().value) == (m, c)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.dictionaries(st.integers(-(2**40), 2**40), st.text("abc", min_size=1, max_size=2), max_size=12), st.integers(2, 5))
+def test_tree_keeps_the_order(spark, values, fan):
+    df = spark.createDataFrame(list(values.items()), "rank long, v string")
+    got = aggregate.tree_reduce(df, "rank", "v", lambda a, b: F.concat(a, b), fan_in=fan).first().value
+    assert got == ("".join(v for _, v in sorted(values.items())) if values else None)
+
+
+def test_tree_refuses(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "rank int, v string")
+    with pytest.raises(Exception, match="two values"):
+        aggregate.tree_reduce(df, "rank", "v", lambda a, b: F.concat(a, b)).collect()
+    assert aggregate.tree_reduce(df.where("rank is null or v = 'a'"), "rank", "v", lambda a, b: F.concat(a, b)).first().value == "a"
+    with pytest.raises(ValueError):
+        aggregate.tree_reduce(df, "rank", "v", lambda a, b: a, fan_in=1)
+
+
+@pytest.mark.parametrize("limit,how", [(1 << 20, "BroadcastHashJoin"), (0, "ShuffledHashJoin")])
+def test_all_gather_by_size(spark, limit, how):
+    df = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (9, "none")], "k long, t string")
+    vector = spark.createDataFrame([(1, 0.5), (2, 1.5), (3, 2.5)], "id long, v double")
+    got = aggregate.all_gather(df, vector, "k", limit=limit)
+    assert how in plan(got)
+    assert sorted(map(tuple, got.select("k", "t", "v").collect())) == [(1, "x", 0.5), (2, "y", 1.5), (2, "z", 1.5)]
+
+
+# --- traversal ---
+
+
+def test_positions(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000 // 2, f"r{i}") for i in range(1000)] + [(5, "same")] * 500, "k int, t string").repartition(6)
+    got = sorted(positions(df, ["k"]).collect(), key=lambda r: r.position)
+    assert [r.position for r in got] == list(range(1500)) and [r.k for r in got] == sorted(r.k for r in got)
+    assert positions(df.limit(0), ["k"]).collect() == []
+
+
+def test_traversal_stops_and_goes_on(spark, tmp_path):
+    seen = str(tmp_path)
+
+    def process(chunk):
+        open(f"{seen}/{chunk.column('chunk')[0].as_py()}", "a").close()
+        assert chunk.num_rows <= 10 and chunk.column("k").to_pylist() == sorted(chunk.column("k").to_pylist())
+        return not any(k % 400 == 399 for k in chunk.column("k").to_pylist())
+
+    import os
+
+    t = Traversal.over(spark.range(1003).select((1002 - F.col("id")).alias("k")), ["k"], 10)
+    assert t.chunks == 101 and t.run(process, first_wave=4) == 39 and t.stopped and t.next_chunk == 40
+    assert t.waves == [(0, 4), (4, 12), (12, 28), (28, 60)]
+    assert {int(x) for x in os.listdir(seen)} >= set(range(40)) and max(int(x) for x in os.listdir(seen)) < 60  # later waves are not read
+    assert t.run(process, first_wave=4) == 79
+    assert t.run(process) is None and not t.stopped and t.next_chunk == 101
+    t.reset()
+    assert t.run(lambda c: c.num_rows == 10) == 100
+    again = resume(spark, t.table._spindle_path, 10, 40)
+    assert again.chunks == 101 and again.run(process) == 79
+    assert "PartitionFilters: [isnotnull(folder" in plan(t.chunk_range(64, 70)) and t.chunk_range(64, 70).count() == 60
+
+
+def test_traversal_of_nothing(spark):
+    t = Traversal.over(spark.range(0).withColumnRenamed("id", "k"), ["k"], 5)
+    assert t.chunks == 0 and t.run(lambda c: False) is None
+    with pytest.raises(ValueError):
+        Traversal.over(spark.range(3), ["id"], 0)
+    with pytest.raises(ValueError):
+        Traversal.over(spark.range(3).withColumnRenamed("id", "chunk"), ["chunk"], 1)

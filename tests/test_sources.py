@@ -2,9 +2,11 @@
 
 import gzip
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from spindle.sources.edges import ReadOptions, edges_from, load_edges, read_edges, read_vertices, write_edges
+from spindle.sources.edges import BatchPayload, ReadOptions, edges_from, load_edges, map_payload, read_edges, read_vertices, write_edges
 from spindle.sources.schema import data_type, parse_header
 
 HEADER = "from:uint,to:uint,i:int,f:f32,s:string"
@@ -99,3 +101,76 @@ def test_wrong_ids_of_other_formats(spark, tmp_path):
     spark.createDataFrame([(-1, 2)], "from long, to long").write.parquet(f"{tmp_path}/e.parquet")
     with pytest.raises(Exception, match="out of range"):
         load_edges(spark, f"{tmp_path}/e.parquet").collect()
+
+
+def folder(tmp_path, *files):
+    for n, text in enumerate(files):
+        (tmp_path / f"part-{n}.csv").write_text(text)
+    return str(tmp_path)
+
+
+def test_a_folder_of_equal_headers(spark, tmp_path):
+    p = folder(tmp_path, "from:uint,to:uint,w:\n1,2,\n", "from:uint,to:uint,w:\n3,4,\n", "", "from:uint,to:uint,w:\n")
+    assert sorted(tuple(r) for r in read_edges(spark, p).collect()) == [(1, 2), (3, 4)]
+
+
+@pytest.mark.parametrize("other", ["to:uint,from:uint,i:int", "from:uint,to:uint,i:long", "from:uint,to:uint", "from:uint,to:uint,j:int", "from:uint,to:uint,i:int,s:string", "5,6,7"])
+def test_a_file_with_another_header_fails(spark, tmp_path, other):
+    """In any order of files, whatever is selected: its columns would be taken for those of the others."""
+    row = ",".join("9" for _ in other.split(","))
+    for at in range(3):
+        files = ["from:uint,to:uint,i:int\n1,2,3\n"] * 2
+        files.insert(at, f"{other}\n{row}\n")
+        d = tmp_path / str(at)
+        d.mkdir()
+        with pytest.raises(Exception):  # noqa: B017
+            read_edges(spark, folder(d, *files)).collect()
+        with pytest.raises(Exception):  # noqa: B017
+            read_edges(spark, folder(d, *files), ReadOptions(include_columns=("i",))).select("dst").count()
+
+
+def test_a_given_header_skips_first_lines_unread(spark, tmp_path):
+    p = folder(tmp_path, "anything\n1,2\n", "a:b,c\n3,4\n")
+    assert sorted(tuple(r) for r in read_edges(spark, p, ReadOptions(header="from:uint,to:uint")).collect()) == [(1, 2), (3, 4)]
+
+
+def payload(schema, make):
+    return BatchPayload(schema, make)
+
+
+def test_payload_by_batches(spark, tmp_path):
+    p = put(tmp_path, HEADER + '\n1,2,4,4.0,"4.00"\n2,3,5,5.0,"5.00"\n')
+    o = ReadOptions(include_columns=("s", "i"))
+
+    def make(batch):
+        assert batch.schema.names == ["s", "i"]
+        return pa.RecordBatch.from_arrays([pc.multiply(batch.column("i"), pa.scalar(2, pa.int32())), pc.utf8_length(batch.column("s"))], ["twice", "n"])
+
+    got = read_edges(spark, p, o, payload("n int, twice int", make))
+    assert got.schema["data"].dataType.simpleString() == "struct<n:int,twice:int>"
+    assert sorted((r.src, r.dst, tuple(r.data)) for r in got.collect()) == [(1, 2, (4, 8)), (2, 3, (4, 10))]
+    v = read_vertices(spark, put(tmp_path, "id:uint,s:string\n7,abc\n", "v.csv"), ReadOptions(include_columns=("s",)))
+    made = map_payload(v, payload("n int", lambda b: pa.StructArray.from_arrays([pc.utf8_length(b.column("s"))], ["n"])))
+    assert [tuple(r.data) for r in made.collect()] == [(3,)]
+
+
+@pytest.mark.parametrize(
+    "make",
+    [
+        lambda b: pa.RecordBatch.from_arrays([pc.cast(b.column("i"), pa.int64())], ["n"]),
+        lambda b: pa.RecordBatch.from_arrays([b.column("i")], ["m"]),
+        lambda b: pa.RecordBatch.from_arrays([b.column("i"), b.column("i")], ["n", "m"]),
+        lambda b: pa.RecordBatch.from_arrays([b.column("i").slice(1)], ["n"]),
+        lambda b: b.column("i"),
+        lambda b: None,
+    ],
+)
+def test_wrong_payloads_fail(spark, tmp_path, make):
+    p = put(tmp_path, HEADER + "\n1,2,4,4.0,x\n2,3,5,5.0,y\n")
+    with pytest.raises(Exception):  # noqa: B017
+        read_edges(spark, p, ReadOptions(include_columns=("i",)), payload("n int", make)).collect()
+
+
+def test_payload_needs_columns(spark, tmp_path):
+    with pytest.raises(ValueError):
+        read_edges(spark, put(tmp_path, HEADER + "\n1,2,4,4.0,x\n"), None, payload("n int", lambda b: b))
