@@ -3,9 +3,10 @@
 A document is cut only where it is longer than a sequence: into whole sequences, which need no packing, and a rest.
 The rests and the shorter documents are dealt into districts of about ``DISTRICT_ITEMS`` pieces. Every district is
 packed by ``ISLANDS`` islands, each a row of its own, so that islands of one district run as different tasks. An
-island begins with packings by first fit in random orders. A child takes whole well-filled sequences of one parent,
-keeps those of the other that share no piece with them, and places what is displaced by best fit,
-large pieces first. After every epoch the best packing of an island migrates to the next island of its district, through
+island begins with packings by first fit in random orders. A child takes some whole well-filled sequences of one parent
+and keeps those of the other that share no piece with them; those that do are dissolved, what they hold is placed by best fit
+among all the others, large pieces first, and nothing else moves. Then the child is mutated: its emptiest sequences and a few
+others are dissolved and placed anew in the same way, and the better of the two stays. After every epoch the best packing of an island migrates to the next island of its district, through
 a shuffle, and replaces the worst one there. At the end the best packing of all islands is the district's.
 
 Then well-filled sequences stay as they are, and the poorly filled ones of all districts go, whole, to the districts
@@ -19,7 +20,6 @@ import bisect
 import math
 import random
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +32,18 @@ from spindle.session import discard, keep, materialise, scratch
 
 CAPACITY, END_ID = 2048, 0
 DISTRICT_ITEMS = 4000
-ISLANDS, MEMBERS, EPOCHS, GENERATIONS = 2, 4, 2, 4
+ISLANDS, MEMBERS, EPOCHS, GENERATIONS = 2, 4, 2, 20
+#: A crossover injects at most one sequence in so many, a mutation dissolves about one in so many.
+INJECTED, DISSOLVED = 8, 12
 WELL_FILLED, LEAST_GAIN = 0.995, 0.001
 
 
 class Packing:
-    """Bins of items, and how much each holds."""
+    """Bins of items, and how much each holds; ``displaced`` is how many items were placed anew to make it. Bins are never changed."""
 
-    def __init__(self, sizes: list[int], bins: list[list[int]]):
-        self.bins, self.fills = bins, [sum(map(sizes.__getitem__, b)) for b in bins]
+    def __init__(self, sizes: list[int], bins: list[list[int]], fills: list[int] | None = None, displaced: int = 0):
+        self.bins, self.displaced = bins, displaced
+        self.fills = [sum(map(sizes.__getitem__, b)) for b in bins] if fills is None else fills
 
     def fitness(self) -> tuple[int, float]:
         """Fewer bins first, then fuller ones: larger is better."""
@@ -60,23 +63,6 @@ def from_places(sizes: list[int], places: np.ndarray) -> Packing:
     return Packing(sizes, [x.tolist() for x in np.split(by, edge)] if len(places) else [])
 
 
-def best_fit(sizes: list[int], order: Iterable[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Places items in their order into the fullest bin with room, or a new one. ``bins`` is extended."""
-    room = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
-    for i in order:
-        at = bisect.bisect_left(room, (sizes[i], -1))
-        if at == len(room):
-            bins.append([i])
-            left, k = capacity - sizes[i], len(bins) - 1
-        else:
-            left, k = room.pop(at)
-            bins[k].append(i)
-            left -= sizes[i]
-        if left:
-            bisect.insort(room, (left, k))
-    return bins
-
-
 def first_fit(sizes: list[int], order: list[int], capacity: int) -> list[list[int]]:
     """Places items in their order into the first bin with room: a tree has the most room below each of its nodes."""
     leaves = 1 << max(0, len(order) - 1).bit_length()
@@ -113,19 +99,59 @@ def least_bins(sizes: list[int], capacity: int) -> int:
     return int((len(x) - half + more).max())
 
 
+def placed(sizes: list[int], bins: list[list[int]], fills: list[int], loose: list[int], capacity: int) -> Packing:
+    """A packing of some bins and of loose items, large ones first, each in the fullest bin with room for it."""
+    bins, fills, own = list(bins), list(fills), set()
+    loose = sorted(loose, key=lambda i: (-sizes[i], i))
+    least = sizes[loose[-1]] if loose else capacity + 1
+    room = sorted((capacity - f, k) for k, f in enumerate(fills) if capacity - f >= least)
+    for i in loose:
+        at = bisect.bisect_left(room, (sizes[i], -1))
+        if at == len(room):
+            k, left = len(bins), capacity
+            bins.append([])
+            fills.append(0)
+            own.add(k)
+        else:
+            left, k = room.pop(at)
+        if k not in own:
+            bins[k] = list(bins[k])
+            own.add(k)
+        bins[k].append(i)
+        fills[k] += sizes[i]
+        if left - sizes[i] >= least:
+            bisect.insort(room, (left - sizes[i], k))
+    return Packing(sizes, bins, fills, len(loose))
+
+
 def cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """A child of ``a`` with some well-filled bins of ``b``."""
+    """A child of ``a`` with some well-filled bins of ``b``. Bins of ``a`` that share no item with them stay as they are."""
     full = [k for k, f in enumerate(b.fills) if f >= WELL_FILLED * capacity] or range(len(b.bins))
-    taken = [list(b.bins[k]) for k in rng.sample(full, rng.randint(1, len(full)))]
-    inside = {i for x in taken for i in x}
-    loose = []
+    taken = rng.sample(full, rng.randint(1, max(1, min(len(full), len(b.bins) // INJECTED))))
+    inside = {i for k in taken for i in b.bins[k]}
+    bins, fills, loose = [b.bins[k] for k in taken], [b.fills[k] for k in taken], []
     for x, f in zip(a.bins, a.fills, strict=True):
-        if f >= WELL_FILLED * capacity and inside.isdisjoint(x):
-            taken.append(list(x))
+        if inside.isdisjoint(x):
+            bins.append(x)
+            fills.append(f)
         else:
             loose += [i for i in x if i not in inside]
-    loose.sort(key=lambda i: (-sizes[i], i))
-    return Packing(sizes, best_fit(sizes, loose, taken, capacity))
+    return placed(sizes, bins, fills, loose, capacity)
+
+
+def mutate(a: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
+    """``a`` with its emptiest bins and a few others dissolved and placed anew."""
+    n = max(2, len(a.bins) // DISSOLVED)
+    order = sorted(range(len(a.bins)), key=a.fills.__getitem__)
+    gone = {*order[: n // 2 + 1], *rng.sample(order, min(len(order), n // 2))}
+    stay = [k for k in range(len(a.bins)) if k not in gone]
+    return placed(sizes, [a.bins[k] for k in stay], [a.fills[k] for k in stay], [i for k in sorted(gone) for i in a.bins[k]], capacity)
+
+
+def child(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
+    """A crossover, or its mutation if that is better."""
+    crossed = cross(a, b, sizes, capacity, rng)
+    return max(crossed, mutate(crossed, sizes, capacity, rng), key=Packing.fitness)
 
 
 def settle(sizes: list[int], capacity: int, rng: random.Random, known: list[Packing]) -> list[Packing]:
@@ -141,7 +167,7 @@ def epoch(people: list[Packing], sizes: list[int], capacity: int, rng: random.Ra
     people = sorted(people, key=Packing.fitness, reverse=True)
     for _ in range(GENERATIONS):
         a, b = rng.sample(people, 2)
-        people += [cross(a, b, sizes, capacity, rng), cross(b, a, sizes, capacity, rng)]
+        people += [child(a, b, sizes, capacity, rng), child(b, a, sizes, capacity, rng)]
         people.sort(key=Packing.fitness, reverse=True)
         del people[MEMBERS:]
         if len(people[0].bins) <= bound:
@@ -254,6 +280,12 @@ def _best_task(level: int):
     return run
 
 
+def _migrated(people: DataFrame, tasks: int) -> DataFrame:
+    """Every island with ``guest``, the best packing of the island before it in its district."""
+    guests = people.select("district", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("people", 1).alias("guest"))
+    return people.join(guests.repartition(tasks, "district", "island"), ["district", "island"])
+
+
 def _pack_level(items: DataFrame, district, capacity: int, level: int, tasks: int) -> DataFrame:
     """Packs the pieces of every district by its islands."""
     schema = ", ".join(f"{c} {t}" for c, t in (("doc_id", "long"), ("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")))
@@ -262,8 +294,7 @@ def _pack_level(items: DataFrame, district, capacity: int, level: int, tasks: in
     islands = dealt.select("district", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "length", "known")
     people = materialise(islands.repartition(tasks, "district", "island").mapInArrow(_settle_task(capacity, level), PEOPLE), "people")
     for nth in range(1, EPOCHS):
-        guests = people.select("district", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.element_at("people", 1).alias("guest"))
-        moved = people.join(guests.repartition(tasks, "district", "island"), ["district", "island"])
+        moved = _migrated(people, tasks)
         before, people = people, materialise(moved.mapInArrow(_epoch_task(capacity, level, nth), PEOPLE), "people")
         discard(before)
     tops = people.groupBy("district").agg(F.collect_list(F.element_at("people", 1)).alias("tops"))

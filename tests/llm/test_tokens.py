@@ -126,35 +126,95 @@ def sized(seed, n):
     return [rng.randint(20, 50) for _ in range(n)]
 
 
+def falling(sizes):
+    """Best fit in falling order of sizes."""
+    return packing.placed(sizes, [], [], list(range(len(sizes))), 100)
+
+
 def test_evolution_beats_best_fit():
     """Sizes that best fit decreasing packs badly: the algorithm, which never takes that packing, needs strictly fewer bins."""
-    falling = lambda x: len(packing.best_fit(x, sorted(range(len(x)), key=lambda i: (-x[i], i)), [], 100))
     sets = [sized(s, 120) for s in range(12)]
     got = [len(packing.evolve(x, 100, s)) for s, x in enumerate(sets)]
-    assert all(a <= falling(x) for a, x in zip(got, sets, strict=True))
-    assert sum(got) < sum(map(falling, sets))
-    assert sum(a < falling(x) for a, x in zip(got, sets, strict=True)) >= 6
+    assert all(a <= len(falling(x).bins) for a, x in zip(got, sets, strict=True))
+    assert sum(got) < sum(len(falling(x).bins) for x in sets)
+
+
+def test_crossover_moves_little():
+    """Injected bins arrive whole, bins that share nothing with them stay as they are, the rest alone is placed anew."""
+    x, rng, moved = sized(1, 400), random.Random(2), []
+    people = packing.settle(x, 100, rng, [])
+    for _ in range(30):
+        a, b = rng.sample(people, 2)
+        c = packing.cross(a, b, x, 100, rng)
+        assert sorted(i for q in c.bins for i in q) == list(range(len(x))) and c.fills == [sum(x[i] for i in q) for q in c.bins] and max(c.fills) <= 100
+        held = {tuple(sorted(q)) for q in c.bins}
+        well = {tuple(sorted(q)) for q, f in zip(b.bins, b.fills, strict=True) if f >= 99.5}
+        inside = {i for q in held & well for i in q}
+        # A bin of a that is not in the child shares an item with an injected one, or had room for something displaced.
+        changed = [(q, f) for q, f in zip(a.bins, a.fills, strict=True) if tuple(sorted(q)) not in held and inside.isdisjoint(q)]
+        assert held & well and all(any(set(q) < set(w) for w in held) for q, _ in changed)
+        moved.append(c.displaced / len(x))
+        people = sorted([*people, packing.child(a, b, x, 100, rng)], key=packing.Packing.fitness, reverse=True)[:4]
+    assert sorted(moved)[len(moved) // 2] < 0.25
 
 
 def test_every_part_of_the_evolution_counts():
-    """Crossover betters the first packings, and a migrated elite betters an island."""
-    x = sized(1, 200)
-    rng = random.Random(2)
+    """An epoch betters the first packings; crossover alone does as well, and mutation goes further."""
+    x, rng = sized(1, 200), random.Random(2)
     first = packing.settle(x, 100, rng, [])
     after = packing.epoch(first, x, 100, rng, 0)
     assert len(after[0].bins) < min(len(p.bins) for p in first)
-    child = packing.cross(first[0], after[0], x, 100, rng)
-    assert any(sorted(b) in [sorted(c) for c in child.bins] for b, f in zip(after[0].bins, after[0].fills, strict=True) if f == 100)
+    best = max((packing.cross(a, b, x, 100, rng) for a in first for b in first if a is not b), key=packing.Packing.fitness)
+    assert best.fitness() > max(p.fitness() for p in first)
+    assert max(packing.mutate(best, x, 100, rng).fitness() for _ in range(20)) > best.fitness()
     places = after[0].places(len(x))
     assert sorted(map(sorted, packing.from_places(x, places).bins)) == sorted(map(sorted, after[0].bins))
 
 
 def test_elites_cross_tasks(spark):
-    """After an epoch an island holds the packing that the other island of its district had found."""
-    items = spark.createDataFrame([(i, 0, 0, n, i, None) for i, n in enumerate(sized(5, 60))], "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long")
-    got = packing._pack_level(items, F.pmod("doc_id", F.lit(2)), 100, 0, 4)
-    assert got.count() == 60 and got.where("filled > 100").count() == 0
-    sizes = [x.length for x in items.where("doc_id % 2 = 0").orderBy("length", "doc_id").select(F.col("length")).collect()]
-    rng = random.Random("0/0/0")
-    lonely = packing.epoch(packing.settle(sizes, 100, rng, []), sizes, 100, rng, packing.least_bins(sizes, 100))
-    assert got.where("doc_id % 2 = 0").select("sequence_id").distinct().count() <= len(lonely[0].bins)
+    """Two islands of a district on different tasks: each gets the other's best packing, and keeps it where it beats its own."""
+    import pyarrow as pa
+
+    x = sized(5, 60)
+    good = falling(x)
+    poor = [packing.Packing(x, [[i] for i in range(len(x))])] * packing.MEMBERS
+    rows = [packing._row(3, 0, 0, x, [good] * packing.MEMBERS), packing._row(3, 1, 0, x, poor), packing._row(4, 0, 0, x, poor), packing._row(4, 1, 0, x, poor)]
+    people = spark.createDataFrame(pa.Table.from_batches(rows)).select(*[F.col(c).cast(t) for c, t in (("district", "long"), ("island", "int"), ("bound", "int"))], "sizes", "people").repartition(4, "district", "island")
+    moved = packing._migrated(people, 4)
+    got = {(r.district, r.island): r for r in moved.collect()}
+    assert bytes(got[3, 1].guest) == bytes(got[3, 0].people[0]) and bytes(got[3, 0].guest) == bytes(got[3, 1].people[0])
+    generations = packing.GENERATIONS
+    try:
+        packing.GENERATIONS = 0  # so that only the guest can have bettered an island
+        table = moved.orderBy("district", "island").toArrow()
+        after = {(r["district"], r["island"]): r for b in packing._epoch_task(100, 0, 1)(table.to_batches()) for r in b.to_pylist()}
+    finally:
+        packing.GENERATIONS = generations
+    best = {k: len(packing.from_places(x, np.frombuffer(r["people"][0], "<i4")).bins) for k, r in after.items()}
+    assert best == {(3, 0): len(good.bins), (3, 1): len(good.bins), (4, 0): len(x), (4, 1): len(x)}
+    items = spark.createDataFrame([(i, 0, 0, n, i, None) for i, n in enumerate(x)], "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long")
+    packed = packing._pack_level(items, F.pmod("doc_id", F.lit(2)), 100, 0, 4)
+    assert packed.count() == 60 and packed.where("filled > 100").count() == 0
+
+
+def test_query_packs_the_table(spark, sf):
+    """The registered query: every document's ids, gapless sequences, and nearly as few as the bound."""
+    from spindle.llm.queries import LLM_QUERIES
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = LLM_QUERIES["op10_best_fit_packing"](spark, sf).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    n, bound = check_packing([tuple(r) for r in got.collect()], docs)
+    assert n <= bound + 1
+
+
+def test_query_stores_the_table(spark, sf):
+    """The registered query reads back the ids that plain encoding gives, and where each document starts."""
+    from spindle.llm.queries import LLM_QUERIES
+
+    docs = sorted(tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    want, at = [], 0
+    for d, t in docs:
+        ids = np.append(plain(BYTE_VOCABULARY, t), 2).astype("<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in LLM_QUERIES["op8_token_id_output"](spark, sf).collect()) == want
