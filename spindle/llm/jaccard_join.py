@@ -38,6 +38,8 @@ FLUSH = 500_000
 BLOOM_BITS = (16, 30)  # at least and at most; sixteen bits a candidate between
 BROADCAST_ROWS = 200_000  # of three numbers each
 BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
+#: Bytes of text that a key range stands for, and blocks of one list that are paired at a time.
+RANGE_BYTES, LIST_BLOCKS = 32 << 20, 256
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -61,9 +63,19 @@ def _low(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
 
 
+def range_bits(text_bytes: int) -> int:
+    """Leading bits of a key that name its range: ranges grow in number with the text, so that none outgrows a task."""
+    return max(7, math.ceil(math.log2(max(1, text_bytes / RANGE_BYTES))))
+
+
+def flush_after(bits: int) -> int:
+    """Tokens that a map task holds before it sends them: some for each range, or a row would have no more than one."""
+    return max(FLUSH, 4 << bits)
+
+
 def _count_task(k: int, bits: int):
     def run(source):
-        held, n = [], 0
+        held, n, most = [], 0, flush_after(bits)
 
         def flush():
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -76,7 +88,7 @@ def _count_task(k: int, bits: int):
                 if len(s):
                     held.append(s)
                     n += len(s)
-                    if n >= FLUSH:
+                    if n >= most:
                         yield flush()
                         held, n = [], 0
         if held:
@@ -159,6 +171,7 @@ def _prefix_task(k: int, num: int, den: int, bits: int, order):
 
     def run(source):
         rank, seen, tokens, groups, sizes, n = order.value, set(), [], [], [], 0
+        limit = flush_after(bits)
 
         def flush():
             t, g, z = np.concatenate(tokens), np.array(groups, np.int64), np.array(sizes, np.uint32)
@@ -196,7 +209,7 @@ def _prefix_task(k: int, num: int, den: int, bits: int, order):
                     n += len(p)
             m = len(ns)
             yield pa.RecordBatch.from_arrays([pa.array([0] * m, pa.int32()), batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(nodes, pa.int64()), pa.array(grps, pa.int64()), pa.array(marks, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=ROWS)
-            if n >= FLUSH:
+            if n >= limit:
                 yield flush()
                 seen, tokens, groups, sizes, n = set(), [], [], [], 0
         if n:
@@ -367,6 +380,26 @@ def _heavy(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return t.column("key").to_numpy(), t.column("times").to_numpy()
 
 
+def block_pairs(in_list: DataFrame, most: int = LIST_BLOCKS) -> DataFrame:
+    """``(x, y)``: the blocks that some list has groups of and whose size classes are equal or next to each other, once each.
+
+    A list of more than ``most`` blocks is cut into parts of about as many, and every two parts are taken by themselves, so
+    that no row and no task has all blocks of a list, or all its pairs.
+    """
+    ats = materialise(in_list.distinct(), "listed")
+    long = ats.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("list", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    long = materialise(long, "long")
+    cut = ats.join(F.broadcast(long) if long.count() <= BROADCAST_ROWS else long, "list", "left")
+    parts = F.coalesce("parts", F.lit(1))
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("at"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    one, two = F.least("mine", "other"), F.greatest("mine", "other")
+    side = lambda first: F.sort_array(F.collect_list(F.when((F.col("mine") == F.col("one")) if first else (F.col("mine") == F.col("two")), F.col("at"))))
+    met = cut.withColumn("one", one).withColumn("two", two).groupBy("list", "one", "two").agg(side(True).alias("xs"), side(False).alias("ys"))
+    each = met.select("xs", "ys").distinct().select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    near = each.where(F.abs(F.col("y.sc") - F.col("x.sc")) <= 1).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return near.select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100, heavy_tokens: int = 1 << 19, least_times: int = 4) -> DataFrame:
     """``(doc_id, n_shingles, component_id, n_links)``, a row for each row of ``docs``.
 
@@ -383,8 +416,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int, heavy_tokens: int, least_times: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(7, 2 + math.ceil(math.log2(max(2, parts))))
+    bits = range_bits(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
     packed = texts.select("text").mapInArrow(_count_task(k, bits), "bucket int, keys binary, counts binary")
     counts = materialise(packed.groupBy("bucket").applyInArrow(_frequent(least_times), "key long, times long"), "counts")
@@ -413,9 +445,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, num: int, den:
 
     of_group = placed.select("grp", F.struct("sc", "block").alias("at")).distinct()
     in_list = lists.select("list", "grp").union(several.select(F.col("grp").alias("list"), "grp")).join(of_group, "grp")
-    together = in_list.groupBy("list").agg(F.sort_array(F.collect_set("at")).alias("ats")).select("ats").distinct()
-    one = together.select(F.posexplode("ats").alias("i", "x"), "ats").select("x", F.explode(F.expr("slice(ats, i + 1, size(ats) - i)")).alias("y"))
-    pairs = one.where("y.sc - x.sc <= 1").select(F.col("x.block").alias("x"), F.col("y.block").alias("y")).distinct()
+    pairs = block_pairs(in_list.select("list", "at"))
     sides = pairs.select(F.xxhash64("x", "y").alias("pair"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
 
     # A block is one row from here on, so joins with pairs of blocks make no rows for their sets.

@@ -77,3 +77,37 @@ def test_prefix_length(n):
     from spindle.llm.jaccard_join import prefix_length
 
     assert prefix_length(n, 75, 100) == n - -(-75 * n // 100) + 1 >= 1
+
+
+@pytest.mark.parametrize("most", [1, 3, 256])
+def test_block_pairs(spark, most):
+    """All pairs of blocks of some list, once, whether lists are cut into parts or not."""
+    from spindle.llm.jaccard_join import block_pairs
+
+    rng = random.Random(most)
+    rows = [(rng.randrange(4), (rng.randrange(5), rng.randrange(12))) for _ in range(120)] + [(9, (1, 100)), (10, (2, 101)), (10, (3, 102)), (11, (0, 103)), (11, (2, 104))]
+    df = spark.createDataFrame(rows, "list long, at struct<sc:int,block:long>")
+    want = {(x[1], y[1]) for k in {r[0] for r in rows} for x in (r[1] for r in rows if r[0] == k) for y in (r[1] for r in rows if r[0] == k) if abs(x[0] - y[0]) <= 1 and x <= y}
+    got = [tuple(r) for r in block_pairs(df, most).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_ranges_follow_the_text():
+    """No range stands for more than a bounded text, and none has one key a row."""
+    from spindle.llm import jaccard_join as j
+
+    assert j.range_bits(0) == 7 and j.range_bits(10**14) == 22
+    for size in (10**6, 10**10, 10**12, 10**14, 10**16):
+        bits = j.range_bits(size)
+        assert size / 2**bits <= j.RANGE_BYTES and (bits == 7 or size / 2 ** (bits - 1) > j.RANGE_BYTES)
+        assert j.flush_after(bits) >= 4 * 2**bits
+
+
+def test_partitions_do_not_matter(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        assert sorted((tuple(r) for r in jaccard_classes(df.repartition(9)).collect()), key=repr) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
