@@ -105,3 +105,49 @@ def test_query(spark, sf):
     got = {r.doc_id: r.items for r in LLM_QUERIES["op5_benchmark_decontamination"](spark, sf).collect()}
     assert len(got) == 200
     assert all((got[r.doc_id] or "") == ",".join(map(str, brute(r.text, items))) for r in docs)
+
+
+def test_a_stem_of_many_items():
+    """20,000 items that begin alike, and documents that hold their beginning: looked up once for all of them, in bounded time and memory."""
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from spindle.llm.decontaminate import Items
+
+    rng = random.Random(8)
+    stem = " ".join(f"s{i}" for i in range(10))
+    items = [(i, stem + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(10))) for i in range(20_000)]
+    docs = []
+    for i in range(1000):
+        tail = items[i][1].split()[10:] if i % 10 == 0 else [f"v{rng.randrange(10**6)}" for _ in range(10)]
+        docs.append("before it " + stem + " " + " ".join(tail[: rng.choice([1, 2, 10])]) + " and after")
+    known = Items([i for i, _ in items], [t for _, t in items], MASKS, 13, 0.8)
+    began = time.process_time()
+    got = [known.found(pa.array(docs[a : a + 100])) for a in range(0, 1000, 100)]
+    took = time.process_time() - began
+    tracemalloc.start()
+    known.found(pa.array(docs[:50]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    got = [x.tolist() for part in got for x in part]
+    for i in [*range(0, 1000, 97), *range(0, 1000, 110)]:
+        near = [items[i], *rng.sample(items, 5)]
+        assert sorted(set(got[i]) & {n for n, _ in near}) == brute(docs[i], near)
+    assert sum(map(bool, got)) >= 60 and most < 500e6
+    assert took < 30  # a few seconds on a machine that does nothing else
+
+
+def test_items_that_many_share_whole(spark):
+    """Repeated and nearly repeated items, more than are looked at one by one, in slices and at once."""
+    base = [f"w{i}" for i in range(16)]
+    items = [(i, " ".join(w if k != i % 17 else "other" for k, w in enumerate(base))) for i in range(60)]
+    docs = [(1, "x " + " ".join(base) + " y"), (2, " ".join(base[:12])), (3, " ".join(base[3:])), (4, "none of it"), (4, None)]
+    d, b = spark.createDataFrame([(*r, 7) for r in docs], "doc_id long, text string, key int"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((i, brute(t, items)) for i, t in docs), key=repr)
+    for slice_bytes in (1 << 20, 1000):
+        got = sorted(((r.doc_id, r.items) for r in contamination(d, b, slice_bytes=slice_bytes).collect()), key=repr)
+        assert got == want and any(len(x) > 40 for _, x in got)
+        left = clean(d, b, slice_bytes=slice_bytes)
+        assert left.columns == d.columns and sorted(((r.doc_id, r.text, r.key) for r in left.collect()), key=repr) == sorted(((i, t, 7) for (i, t) in docs if not brute(t, items)), key=repr)
