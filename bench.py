@@ -9,7 +9,7 @@ import time
 from spindle.plans.queries import QUERIES
 from spindle.session import local_session
 
-HEADLINE = ("pagerank", "pagerank_isolated", "degrees", "adjacency", "graph_info", "symmetrise", "partition_edges", "scalar_arith_long")
+HEADLINE = ("pagerank", "pagerank_isolated", "degrees", "adjacency", "graph_info", "symmetrise", "partition_edges", "scalar_arith_long", "pagerank_first10", "adjacency_blocks", "placed_links", "tree_reduce", "all_gather", "all_gather_dealt", "triplets_combine", "tagged_arith", "first_chunk")
 
 
 def main() -> None:
