@@ -244,6 +244,12 @@ def _placed_links(spark: SparkSession, d: str) -> DataFrame:
     return g.with_sources().groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("dst").alias("dsts"), F.max("deg").alias("deg"))
 
 
+def _placed_pagerank(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of a graph written in buckets, over its links as they lie; small pieces, so most vertices have several."""
+    g = place(Graph(part_supplier(spark, d)), piece_links=50)
+    return pagerank(g, replicate_bytes=0).select("id", F.round("pr", 6).alias("pr"))
+
+
 def _tree_reduce(spark: SparkSession, d: str) -> DataFrame:
     """All orders' steps x -> m x + c modulo a prime, composed in the order of their keys: associative, but not commutative."""
     x = table(spark, d, "orders").select((F.col("o_orderkey") * 3 - 1000).alias("rank"), F.struct((F.col("o_custkey") % 1008 + 1).alias("m"), (F.col("o_orderkey") % 1009).alias("c")).alias("step"))
@@ -370,7 +376,7 @@ QUERIES: dict[str, Query] = {
     "read_edges_csv": _read_edges_csv,
     "read_edges_csv_payload": _read_edges_csv_payload,
     "hash_partitions": _hash_partitions,
-    "graph_partitions": lambda s, d: Graph(shared_ids(s, d), PARTS).partitioned_vertices(),
+    "graph_partitions": lambda s, d: Graph(order_part(s, d), PARTS).partitioned_vertices(),
     "all_to_all": _all_to_all,
     "value_types": _value_types,
     "scalar_extract": _scalar_extract,
@@ -409,6 +415,7 @@ QUERIES: dict[str, Query] = {
     "adjacency_blocks": _adjacency_blocks,
     "placed_degrees": _placed_degrees,
     "placed_links": _placed_links,
+    "placed_pagerank": _placed_pagerank,
     "tree_reduce": _tree_reduce,
     "all_gather": _all_gather(aggregate.REPLICATE_BYTES),
     "all_gather_dealt": _all_gather(0),
@@ -479,7 +486,7 @@ ORACLES: dict[str, str] = {
     "read_edges_csv": PS,
     "read_edges_csv_payload": PS.replace(" AS dst FROM", " AS dst, l_linenumber, l_quantity FROM"),
     "hash_partitions": f"WITH e AS ({SELF}) SELECT range AS id, CAST((((range * {partition.SPREAD}) & 4294967295) * {PARTS}) >> 32 AS INTEGER) AS part FROM range({N})",
-    "graph_partitions": f"WITH e AS ({SELF}) SELECT range AS id, {OWNER.format('range')} AS part FROM range({N})",
+    "graph_partitions": f"WITH e AS ({OP}) SELECT range AS id, {OWNER.format('range')} AS part FROM range({N})",
     "all_to_all": f"WITH e AS ({SELF}), o AS (SELECT {OWNER.format('src')} AS part FROM e) SELECT part, part AS at, count(*) AS n FROM o GROUP BY 1, 2",
     "value_types": "WITH t(nth, name, type) AS (VALUES "
     + ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate((("empty", "void"), ("bool", "boolean"), ("int", "int"), ("int32", "int"), ("long", "bigint"), ("int64", "bigint"), ("long long", "bigint"), ("float", "float"), ("float32", "float"), ("double", "double"), ("float64", "double"), ("string", "string"))))
@@ -520,6 +527,7 @@ ORACLES: dict[str, str] = {
     "adjacency_blocks": f"WITH e AS ({SELF}), s AS ({SYM}), r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS nth FROM s) SELECT src AS id, (nth // 16)::BIGINT AS block, (nth // 16 * 16)::BIGINT AS start, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS nbrs FROM r GROUP BY 1, 2, 3",
     "placed_degrees": f"WITH e AS ({OP}), s AS ({SYM}), g AS (SELECT src, count(*) AS n FROM s GROUP BY 1) SELECT range AS id, coalesce(n, 0) AS n, coalesce(n, 0) AS deg FROM range({N}) LEFT JOIN g ON src = range",
     "placed_links": f"WITH e AS ({SELF}), s AS ({SYM}) SELECT src, count(*) AS n, sum(dst)::BIGINT AS dsts, count(*) AS deg FROM s GROUP BY 1",
+    "placed_pagerank": pagerank_sql(PS, 100),
     "tree_reduce": "SELECT x.m AS m, x.c AS c FROM (SELECT list_reduce(list({'m': o_custkey % 1008 + 1, 'c': o_orderkey % 1009} ORDER BY o_orderkey), lambda a, b: {'m': a.m * b.m % 1009, 'c': (a.c * b.m + b.c) % 1009}) AS x FROM orders)",
     "all_gather": GATHER_SQL,
     "all_gather_dealt": GATHER_SQL,

@@ -220,6 +220,26 @@ def test_placed_graph(spark, tmp_path):
         place(g, piece_links=0)
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_ranks_of_a_placed_graph(spark, limit):
+    """The same ranks as of the edges, with hubs in pieces and parallel edges in different ones."""
+    edges = [(0, i) for i in range(1, 60)] + [(0, 7)] * 30 + [(61, 61), (3, 4), (61, 3)]
+    g = graph(spark, edges)
+    want = {r.id: r.pr for r in pagerank(g, 12).collect()}
+    got = {r.id: r.pr for r in pagerank(place(g, 3, piece_links=10), 12, replicate_bytes=limit).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    assert {r.id: r.pr for r in pagerank(place(graph(spark, []), 2), 3, replicate_bytes=limit).collect()} == pytest.approx({0: 0.15})
+
+
+def test_links_of_a_placed_graph_are_not_shuffled(spark, monkeypatch):
+    frame, plans = type(spark.range(0)), []
+    kept = frame.persist
+    monkeypatch.setattr(frame, "persist", lambda self, *a: plans.append((self.columns, plan(self))) or kept(self, *a))
+    pagerank(place(graph(spark, [(i, i + 1) for i in range(50)]), 3, piece_links=10), 1, replicate_bytes=0)
+    links = next(p for c, p in plans if "share" in c)
+    assert "Bucketed: true" in links and "Exchange" not in links
+
+
 def test_placed_payload_and_empty(spark):
     e = spark.createDataFrame([(1, 2, "b")], "src long, dst long, t string").select("src", "dst", F.struct("t").alias("data"))
     assert sorted((r.src, r.dst, r.data.t) for r in place(Graph(e), 2).links().collect()) == [(1, 2, "b"), (2, 1, "b")]
