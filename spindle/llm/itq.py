@@ -63,7 +63,8 @@ def fit_codes(unit: np.ndarray, rounds: int = ROUNDS, seed: int = 12) -> Codes:
         return unlearnt(d, seed)
     mean = unit.mean(axis=0)
     x = unit - mean
-    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :b]
+    # Of vectors longer than the sample is large, the rows say all there is to say.
+    axes = np.linalg.svd(x, full_matrices=False)[2][:b].T if len(x) < d else np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :b]
     v = x @ axes
     turn = np.linalg.qr(rng.standard_normal((b, b)))[0]
     for _ in range(rounds):

@@ -111,6 +111,16 @@ def test_codes_are_balanced_and_closer_than_random():
     assert quantised(learnt) < quantised(itq.Codes(learnt.mean, itq.unlearnt(48).axes, 0))
 
 
+def test_vectors_longer_than_the_sample():
+    rng = np.random.default_rng(6)
+    unit = rng.standard_normal((150, 1000))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    c = itq.fit_codes(unit)
+    assert c.axes.shape == (1000, 64) and np.allclose(c.axes.T @ c.axes, np.eye(64), atol=1e-9)
+    near = unit + 0.002 * rng.standard_normal(unit.shape)
+    assert np.bitwise_count(c.of(unit) ^ c.of(near)).mean() < 8
+
+
 def test_every_pair_of_a_run_once():
     """Candidates come from the first table that they meet in, whatever the run's length."""
     import pyarrow as pa
