@@ -1,7 +1,7 @@
 """Values whose type is a matter of the row: one column may mix empty values, booleans, numbers and strings.
 
 A tagged value is a struct: ``tag``, the place of its type in ``TAGS``, and one field for each type, of which the tag's holds the
-value. Every operator chooses by the tags of the row at hand, inside generated code. Arithmetic wants two numbers of
+value. Every operator chooses by the tags of the row at hand, in generated code. Arithmetic wants two numbers of
 one type; integers raise on overflow and division by zero, floats follow IEEE 754. Values of different types are unequal and
 compare by their tags; a NaN equals nothing and is unordered. Extraction wants the type asked for: nothing is ever
 coerced. A null struct stays null in every operator.
@@ -54,13 +54,31 @@ def tag_of(name: Column) -> Column:
     return F.coalesce(_known(name).cast("tinyint"), _unknown(name, T.ByteType()))
 
 
+def _apart(met: Column) -> Column:
+    """The same condition, in a form that keeps its projection out of whole-stage code.
+
+    Whole stages write all of a projection into one method, and the JVM never compiles methods over 8000 bytes, as these
+    choices by type become. Outside of them Spark deals the projection's generated code out to small methods.
+    """
+    return F.exists(F.array(met), lambda x: x)
+
+
+def _fields(tag: Column, of: dict[str, Column]) -> Column:
+    """One struct of a tag and the values of those types that have one, each of which is null in rows of other types."""
+    return F.struct(tag.cast("tinyint").alias("tag"), *[of.get(k, F.lit(None)).cast(t).alias(f"as_{k}") for k, t in FIELDS.items()])
+
+
+def _names(kind: str) -> list[str]:
+    return [n for n in values.VALUE_TYPES if _kind(n) == kind]
+
+
 def parse(text: Column, name: Column) -> Column:
-    """The tagged value of a string by the type name beside it; a string that is no such value fails the query. A null string or name gives null."""
-    tag = _known(name)
-    out = F.when(tag == 0, _struct("empty", None))
-    for kind in FIELDS:
-        out = out.when(tag == TAGS.index(kind), _struct(kind, values.parse(text, kind)))
-    return F.when(text.isNotNull(), out.otherwise(_unknown(name, TAGGED)))
+    """The tagged value of a string by the type name beside it; a string that is no such value fails the query. A null string or name gives null.
+
+    Both are written out several times in the plan: give columns of an earlier ``select`` if they cost much.
+    """
+    parsed = _fields(_known(name), {k: F.when(name.isin(_names(k)), values.parse(text, k)) for k in FIELDS})
+    return F.when(_apart(text.isNotNull() & _known(name).isNotNull()), parsed).when(text.isNotNull(), _unknown(name, TAGGED))
 
 
 def type_name(value: Column) -> Column:
@@ -69,10 +87,10 @@ def type_name(value: Column) -> Column:
 
 
 def _arithmetic(a: Column, b: Column, name: str, of) -> Column:
-    out = F.when(a["tag"].isNull() | b["tag"].isNull(), F.lit(None).cast(TAGGED))
-    for kind in NUMBERS:
-        both = (a["tag"] == TAGS.index(kind)) & (b["tag"] == TAGS.index(kind))
-        out = out.when(both, _struct(kind, of(a[f"as_{kind}"], b[f"as_{kind}"], FIELDS[kind])))
+    low, high = TAGS.index(NUMBERS[0]), TAGS.index(NUMBERS[-1])
+    got = {k: F.when(a["tag"] == TAGS.index(k), of(a[f"as_{k}"], b[f"as_{k}"], FIELDS[k])) for k in NUMBERS}
+    out = F.when(_apart(a["tag"].isNull() | b["tag"].isNull()), F.lit(None).cast(TAGGED))
+    out = out.when((a["tag"] == b["tag"]) & a["tag"].between(low, high), _fields(a["tag"], got))
     return out.otherwise(F.raise_error(F.concat(F.lit(f"no {name} of "), type_name(a), F.lit(" and "), type_name(b))).cast(TAGGED))
 
 
@@ -98,7 +116,7 @@ def divide(a: Column, b: Column) -> Column:
 
 def order(a: Column, b: Column) -> Column:
     """-1, 0 or 1; null where a NaN makes the two unordered. Different types compare by their tags; empty values are equal."""
-    out = F.when(a["tag"].isNull() | b["tag"].isNull(), F.lit(None).cast("int")).when(a["tag"] < b["tag"], -1).when(a["tag"] > b["tag"], 1).when(a["tag"] == 0, 0)
+    out = F.when(_apart(a["tag"].isNull() | b["tag"].isNull()), F.lit(None).cast("int")).when(a["tag"] < b["tag"], -1).when(a["tag"] > b["tag"], 1).when(a["tag"] == 0, 0)
     for kind, t in FIELDS.items():
         x, y = a[f"as_{kind}"], b[f"as_{kind}"]
         sign = F.when(x < y, -1).when(x > y, 1).when(x == y, 0)

@@ -152,17 +152,21 @@ def _value_types(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("name", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def mixed(x: DataFrame, number: str) -> Column:
-    """A column that mixes types row by row: longs, ints, doubles, NaN and strings, parsed from text by a type name beside it."""
+def _mixed(number: str) -> tuple[Column, Column]:
+    """Texts that mix types row by row, longs, ints, doubles, NaN and strings, and the type name of each."""
     at = F.col(number) % 5
     text = F.when(at == 0, F.col("l_partkey").cast("string")).when(at == 1, F.col("l_linenumber").cast("string")).when(at == 2, F.col("l_quantity").cast("string")).when(at == 3, F.lit("NaN")).otherwise(F.col("l_returnflag"))
-    name = F.when(at == 0, "long").when(at == 1, "int32").when(at < 4, "double").otherwise("string")
-    return tagged.parse(text, name)
+    return text, F.when(at == 0, "long").when(at == 1, "int32").when(at < 4, "double").otherwise("string")
+
+
+def _parsed(x: DataFrame, a: tuple[Column, Column], b: tuple[Column, Column]) -> DataFrame:
+    """Two tagged columns of texts and type names, which have a ``select`` of their own, so that they are made once."""
+    texts = x.select("l_orderkey", "l_linenumber", "l_suppkey", a[0].alias("a"), a[1].alias("a_name"), b[0].alias("b"), b[1].alias("b_name"))
+    return texts.select("l_orderkey", "l_linenumber", "l_suppkey", *[tagged.parse(F.col(c), F.col(f"{c}_name")).alias(c) for c in "ab"])
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "lineitem")
-    return x.select("l_orderkey", "l_linenumber", "l_suppkey", mixed(x, "l_linenumber").alias("a"), mixed(x, "l_suppkey").alias("b"))
+    return _parsed(table(spark, d, "lineitem"), _mixed("l_linenumber"), _mixed("l_suppkey"))
 
 
 def _tagged_compare(spark: SparkSession, d: str) -> DataFrame:
@@ -175,11 +179,11 @@ def _tagged_arith(spark: SparkSession, d: str) -> DataFrame:
     """Arithmetic that is of ints in some rows, of longs or doubles in others; its results keep the rows' types."""
     at = F.col("l_linenumber") % 3
 
-    def number(whole: str, real: str) -> Column:
+    def number(whole: str, real: str) -> tuple[Column, Column]:
         text = F.when(at == 2, F.col(real).cast("string")).otherwise(F.col(whole).cast("string"))
-        return tagged.parse(text, F.when(at == 0, "int").when(at == 1, "long").otherwise("double"))
+        return text, F.when(at == 0, "int").when(at == 1, "long").otherwise("double")
 
-    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", number("l_partkey", "l_extendedprice").alias("a"), number("l_linenumber", "l_quantity").alias("b"))
+    x = _parsed(table(spark, d, "lineitem"), number("l_partkey", "l_extendedprice"), number("l_linenumber", "l_quantity"))
     ops = {"plus": tagged.add, "minus": tagged.subtract, "times": tagged.multiply, "quotient": tagged.divide}
     got = x.select("l_orderkey", "l_linenumber", *[f(F.col("a"), F.col("b")).alias(n) for n, f in ops.items()])
     return got.select("l_orderkey", "l_linenumber", *[F.col(n)[f"as_{k}"].alias(f"{n}_{k}") for n in ops for k in ("int", "long", "double")])
