@@ -84,6 +84,24 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "wtfpl-title": ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",),
     "cddl1-title": ("COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0",),
     "isc-condition": ("provided that the above copyright notice and this permission notice appear in all copies",),
+    "gpl3-preamble": ("The GNU General Public License is a free, copyleft license for software and other kinds of works",),
+    "agpl3-preamble": ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works",),
+    "gnu-freedom": ("The licenses for most software are designed to take away your freedom to share and change it",),
+    "gpl2-contrast": ("By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free",),
+    "lgpl3-terms": ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",),
+    "lgpl21-first": ("This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence the version number 2.1",),
+    "apache2-terms": ('"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document',),
+    "mpl2-contributor": ('"Contributor" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software',),
+    "mpl11-contributor": ('"Contributor" means each entity that creates or contributes to the creation of Modifications',),
+    "cddl1-contributor": ('"Contributor" means each individual or entity that creates or contributes to the creation of Modifications',),
+    "epl-accept": ('THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT")',),
+    "epl2-contribution": ("in the case of the initial Contributor, the initial content Distributed under this Agreement",),
+    "epl1-contribution": ("in the case of the initial Contributor, the initial code and documentation distributed under this Agreement",),
+    "artistic2-preamble": ("This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed",),
+    "artistic1-intent": ("The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package",),
+    "ofl-goals": ("The goals of the Open Font License (OFL) are to stimulate worldwide development of collaborative font projects",),
+    "psf2-agreement": ('This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization ("Licensee") accessing and otherwise using',),
+    "cc0-title": ("Creative Commons Legal Code CC0 1.0 Universal",),
     "unlicense": ("This is free and unencumbered software released into the public domain",),
     "reserved": ("All rights reserved",),
 }
@@ -97,6 +115,23 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("Apache-2.0", ("apache2-name", "apache2-obtain", "apache2-unless")),
+    ("Apache-2.0", ("apache2-title", "apache2-terms")),
+    ("MPL-2.0", ("mpl2-title", "mpl2-contributor")),
+    ("MPL-1.1", ("mpl11-title", "mpl11-contributor")),
+    ("CDDL-1.0", ("cddl1-title", "cddl1-contributor")),
+    ("EPL-2.0", ("epl2-title", "epl-accept", "epl2-contribution")),
+    ("EPL-1.0", ("epl1-title", "epl-accept", "epl1-contribution")),
+    ("EPL-2.0", ("epl-accept", "epl2-contribution")),
+    ("EPL-1.0", ("epl-accept", "epl1-contribution")),
+    ("Artistic-2.0", ("artistic2-title", "artistic2-preamble")),
+    ("Artistic-1.0", ("artistic1-title", "artistic1-intent")),
+    ("OFL-1.1", ("ofl-title", "ofl-goals")),
+    ("PSF-2.0", ("psf2-title", "psf2-agreement")),
+    ("AGPL-3.0", ("agpl3-title", "gnu-verbatim", "agpl3-preamble")),
+    ("LGPL-3.0", ("lgpl3-title", "gnu-verbatim", "lgpl3-terms")),
+    ("LGPL-2.1", ("lgpl21-title", "gnu-verbatim", "lgpl21-first")),
+    ("GPL-3.0", ("gpl3-title", "gnu-verbatim", "gpl3-preamble")),
+    ("GPL-2.0", ("gpl2-title", "gnu-verbatim", "gnu-freedom", "gpl2-contrast")),
     ("AGPL-3.0", ("agpl3-title", "gnu-verbatim")),
     ("LGPL-3.0", ("lgpl3-title", "gnu-verbatim")),
     ("LGPL-2.1", ("lgpl21-title", "gnu-verbatim")),
@@ -147,6 +182,20 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("PSF-2.0", ("psf2-title",)),
     ("WTFPL", ("wtfpl-title",)),
     ("CDDL-1.0", ("cddl1-title",)),
+    ("AGPL-3.0", ("agpl3-preamble",)),
+    ("LGPL-3.0", ("lgpl3-terms",)),
+    ("LGPL-2.1", ("lgpl21-first",)),
+    ("GPL-3.0", ("gpl3-preamble",)),
+    ("GPL-2.0", ("gnu-freedom", "gpl2-contrast")),
+    ("Apache-2.0", ("apache2-terms",)),
+    ("MPL-2.0", ("mpl2-contributor",)),
+    ("MPL-1.1", ("mpl11-contributor",)),
+    ("CDDL-1.0", ("cddl1-contributor",)),
+    ("Artistic-2.0", ("artistic2-preamble",)),
+    ("Artistic-1.0", ("artistic1-intent",)),
+    ("OFL-1.1", ("ofl-goals",)),
+    ("PSF-2.0", ("psf2-agreement",)),
+    ("CC0-1.0", ("cc0-title",)),
     ("all-rights-reserved", ("reserved",)),
 )
 
@@ -154,8 +203,14 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 for _code, _words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivs"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivs")):
     for _version in ("1.0", "2.0", "2.5", "3.0"):
         _name = f"CC-{_code}-{_version}"
-        SENTENCES[_name.lower()] = (f"Licensed under CC {_code} {_version}", f"licensed under a Creative Commons {_words} {_version} License", f"licensed under a Creative Commons {_words} {_version} Unported License")
+        SENTENCES[_name.lower()] = (f"Licensed under CC {_code} {_version}", f"licensed under a Creative Commons {_words} {_version} License", f"licensed under a Creative Commons {_words} {_version} Unported License", f"Creative Commons Legal Code {_words} {_version}")
         RULES += ((_name, (_name.lower(),)),)
+# The Creative Commons licences of version 4.0 in full: the title, and the sentence after it that names the licence again.
+for _code, _words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    _name, _id = f"CC-{_code}-4.0", f"cc-{_code.lower()}"
+    SENTENCES[f"{_id}-title"] = (f"Creative Commons {_words} 4.0 International Public License",)
+    SENTENCES[f"{_id}-accept"] = (f"You accept and agree to be bound by the terms and conditions of this Creative Commons {_words} 4.0 International Public License",)
+    RULES += ((_name, (f"{_id}-title", f"{_id}-accept")), (_name, (f"{_id}-accept",)), (_name, (f"{_id}-title",)))
 # A machine-readable tag for each licence that a rule names, and forms with their "-only" and "-or-later" endings.
 _named = {x for x, _ in RULES} - {"all-rights-reserved"}
 for _name in sorted(_named | {f"{x}-{end}" for x in _named for end in ("only", "or-later") if re.fullmatch(r"[AL]?GPL-[0-9.]+", x)}):
@@ -163,7 +218,7 @@ for _name in sorted(_named | {f"{x}-{end}" for x in _named for end in ("only", "
     RULES += ((_name, (f"tag-{_name.lower()}",)),)
 
 # A text without any of these has no known sentence. Between words stands whatever normalising makes a space.
-_ANCHOR = re.compile(r"licen[cs]e|permission|redistribut|free software|as is|rights reserved|public domain|waived|obtain a copy|warrant|endorse|advertising|any later version".replace(" ", r"[\W_]+"), re.I)
+_ANCHOR = re.compile(r"licen[cs]e|permission|redistribut|free software|as is|rights reserved|public domain|waived|obtain a copy|warrant|endorse|advertising|any later version|covered software|creation of modifications|this agreement|artistic|creative commons|freedom to share|lesser gpl".replace(" ", r"[\W_]+"), re.I)
 _OTHER = re.compile(r"[^\w.+-]+|(?<![0-9])\.|\.(?![0-9])|(?<!\w)[+-]+|[+-]+(?!\w)")
 
 

@@ -61,6 +61,29 @@ def test_full_texts_and_tags():
     assert names(isc.format(".")) == ["0BSD"] and names(isc.format(", provided that the above copyright notice and this permission notice appear in all copies.")) == ["ISC"]
 
 
+MPL = "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n\n1.1. \"Contributor\"\n    means each individual or legal entity that creates, contributes to\n    the creation of, or owns Covered Software.\n"
+EPL = "{}\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\nPUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE\nPROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.\n\n1. DEFINITIONS\n\n\"Contribution\" means:\n\na) in the case of the initial Contributor, the initial {} under this Agreement"
+CC4 = "{0}By exercising the Licensed Rights (defined below), You accept and agree to be bound by the\nterms and conditions of this {1} (\"Public License\"). To the extent this Public License may be interpreted as a contract"
+GPL2 = "The licenses for most software are designed to take away your\nfreedom to share and change it. By contrast, the GNU General Public\nLicense is intended to guarantee your freedom to share and change free\nsoftware--to make sure the software is free for all its users."
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        (MPL, ["MPL-2.0"]), (MPL.split("Definitions")[1], ["MPL-2.0"]),
+        (EPL.format("Eclipse Public License - v 2.0", "content Distributed"), ["EPL-2.0"]), (EPL.format("", "content Distributed"), ["EPL-2.0"]), (EPL.format("Eclipse Public License - v 1.0", "code and documentation distributed"), ["EPL-1.0"]), (EPL.format("", "code and documentation distributed"), ["EPL-1.0"]),
+        *[(CC4.format(title, f"Creative Commons {w} 4.0 International Public License"), [n]) for n, w in (("CC-BY-4.0", "Attribution"), ("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives"), ("CC-BY-SA-4.0", "Attribution-ShareAlike")) for title in ("", f"Creative Commons {w} 4.0 International Public License\n\n")],
+        ("Creative Commons Legal Code\n\nAttribution-ShareAlike 3.0 Unported\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM", ["CC-BY-SA-3.0"]), ("Creative Commons Legal Code\n\nCC0 1.0 Universal\n", ["CC0-1.0"]),
+        (GPL2, ["GPL-2.0"]), ("The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public Licenses are intended to guarantee your freedom to share", []),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\nPreamble\n\n" + GPL2, ["GPL-2.0"]),
+        ("this agreement is about modifications, an artistic licence and creative commons", []),
+    ],
+)
+def test_bodies(text, want):
+    """Licences are told by the sentences of their bodies, with a title or without, and told once."""
+    assert names(text) == want
+
+
 def test_many_notices_are_quick():
     text = "Released under the MIT License. x " * 20_000
     found = sentences(text, A)
