@@ -12,12 +12,13 @@ Whole-word arcs also have weights by class of training text (its language, where
 above in the same way. A document's probability sums over the classes: P(text) = sum of P(class) times the product of
 the words and the end. The class is never read at scoring.
 
-Word counts are exact and distributed. Scoring looks up the ``FREQUENT`` most frequent words in a broadcast of bounded
-size; every other word goes through a join with the table of all words.
+Word counts are exact and distributed. Scoring looks up the ``FREQUENT`` most frequent words, of long ones up to
+``LONG_BYTES``, in a broadcast; every other word goes through a join with the table of all words.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -34,7 +35,7 @@ from spindle.session import discard, keep, materialise, scratch
 PIECES = "piece_bpe_32k.model"
 CLASSES = 8
 ROUNDS = 2
-FREQUENT, LONGEST = 1 << 17, 64
+FREQUENT, LONGEST, LONG_BYTES = 1 << 17, 64, 8 << 20
 FLUSH = 150_000
 #: Characters below this code have their spelling in a table.
 _PLAIN = 0x800
@@ -319,11 +320,47 @@ class Totals:
     def base(self, c):
         return (c + 1.0) / (self.tokens + 1.0 * (self.distinct + 1))
 
-    def weights(self, counts: list, c, sub):
-        """Probabilities of a word in each class, for numpy arrays and columns alike. ``sub`` is the lattice's probability."""
-        mixed = lambda x, tokens, distinct, below: (x * 1.0 / tokens) * (tokens / (tokens + distinct)) + below * (distinct / (tokens + distinct)) if tokens else below
-        below = mixed(c, self.tokens, self.distinct, sub)
-        return [mixed(x, t, v, below) for x, t, v in zip(counts, self.class_tokens, self.class_distinct, strict=True)]
+    @staticmethod
+    def _mixed(x, tokens: int, distinct: int, below, of):
+        """The log of a count's share mixed with the probability whose log is ``below``. A word without a count stays in logs, as a long one's probability is less than a double holds."""
+        if not tokens:
+            return below
+        rest = distinct / (tokens + distinct)
+        return of.where(x > 0, of.log((x * 1.0 / tokens) * (tokens / (tokens + distinct)) + of.exp(below) * rest), below + math.log(rest))
+
+    def overall(self, c, sub, of=np):
+        """Natural logs of a word's probability over all classes, for numpy arrays and columns alike. ``sub`` is the lattice's log."""
+        return self._mixed(c, self.tokens, self.distinct, sub, of)
+
+    def weights(self, counts: list, below, of=np) -> list:
+        """Natural logs of a word's probability in each class; ``below`` is :meth:`overall`."""
+        return [self._mixed(x, t, v, below, of) for x, t, v in zip(counts, self.class_tokens, self.class_distinct, strict=True)]
+
+
+class _Columns:
+    """What :class:`Totals` needs of numpy, for columns."""
+
+    log, exp = staticmethod(F.log), staticmethod(F.exp)
+
+    @staticmethod
+    def where(met, a, b):
+        return F.when(met, a).otherwise(b)
+
+
+def _frequent(scored: DataFrame, most: int) -> DataFrame:
+    """The most frequent words, down to the power of two at which they stay within bounds: ``most`` words, and of words over ``LONGEST`` bytes ``most`` and ``LONG_BYTES`` bytes. Words over ``LONG_BYTES / 128`` fill too much text to have many rows of a join."""
+    scored = scored.where(F.octet_length("word") <= LONG_BYTES // 128)
+    step, long = F.floor(4 * F.log2(F.col("n") + 1)).cast("int"), F.octet_length("word") > LONGEST
+    levels = scored.groupBy(step.alias("s"), long.alias("long")).agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("word")).alias("bytes")).collect()
+    wanted = F.lit(False)
+    for is_long, room in ((False, most * LONGEST), (True, LONG_BYTES)):
+        words = size = 0
+        for r in sorted((r for r in levels if r["long"] == is_long), key=lambda r: -r["s"]):
+            words, size = words + r["m"], size + r["bytes"]
+            if words > most or size > room:
+                break
+            wanted = wanted | ((long == is_long) & (step == r["s"]))
+    return scored.where(wanted)
 
 
 def _score_task(shared):
@@ -410,25 +447,19 @@ def _scored(docs: DataFrame, held_out: Column, id_col: str, text_col: str, class
     scored = materialise(scored, "lattice")
     discard(counts)
 
-    # The most frequent words go out as a table; the power of two that bounds it is found by counting.
-    step = F.floor(4 * F.log2(F.col("n") + 1)).cast("int")
-    short = F.octet_length("word") <= LONGEST
-    held, least = 0, None
-    for r in sorted(scored.where(short).groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("m")).collect(), key=lambda r: -r["s"]):
-        if held + r["m"] > frequent:
-            break
-        held, least = held + r["m"], r["s"]
-    t = scored.where(short & (step >= least)).toArrow() if least is not None else scored.limit(0).toArrow()
+    # The most frequent words go out as a table.
+    t = _frequent(scored, frequent).toArrow()
     c = t.column("n").to_numpy().astype(np.float64)
-    p = totals.weights([t.column(f"c{i}").to_numpy() for i in range(k)], c, np.exp(t.column("sub").to_numpy()))
     with np.errstate(divide="ignore"):
-        table = np.stack([*(np.log(x) for x in p), np.log10(totals.base(c)), (c > 0).astype(np.float64)], 1)
+        p = totals.weights([t.column(f"c{i}").to_numpy() for i in range(k)], totals.overall(c, t.column("sub").to_numpy()))
+    table = np.stack([*p, np.log10(totals.base(c)), (c > 0).astype(np.float64)], 1)
     shared = spark.sparkContext.broadcast((t.column("word").to_pylist(), table))
 
     schema = "kind int, key long, doc_id long, held_out boolean, n_tokens long, sums array<double>, word binary, n long"
     parts = materialise(rows.select("doc_id", "text", "held_out").mapInArrow(_score_task(shared), schema), "parts", ["kind"])
     width = k + 2
-    other = scored.select("word", *[F.log(x).alias(f"l{i}") for i, x in enumerate(totals.weights([F.col(f"c{i}") for i in range(k)], F.col("n"), F.exp("sub")))], F.log10(totals.base(F.col("n"))).alias(f"l{k}"), (F.col("n") > 0).cast("double").alias(f"l{k + 1}"))
+    below = scored.withColumn("below", totals.overall(F.col("n"), F.col("sub"), _Columns))
+    other = below.select("word", *[x.alias(f"l{i}") for i, x in enumerate(totals.weights([F.col(f"c{i}") for i in range(k)], F.col("below"), _Columns))], F.log10(totals.base(F.col("n"))).alias(f"l{k}"), (F.col("n") > 0).cast("double").alias(f"l{k + 1}"))
     rare = parts.where("kind = 1").select("key", "word", F.col("n").alias("times"))
     rare = rare.join(other, "word").groupBy("key").agg(*[F.sum(F.col("times") * F.col(f"l{i}")).alias(f"r{i}") for i in range(width)])
     d = parts.where("kind = 0").select("key", "doc_id", "held_out", "n_tokens", "sums").join(rare, "key", "left")

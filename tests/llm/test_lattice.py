@@ -117,7 +117,7 @@ def test_probabilities_of_words_sum_to_less_than_one(spark):
     t = lattice.Totals(10, 3, [6, 0], [2, 0], [1, 0])
     c, own = np.array([5.0, 3.0, 2.0]), np.array([4.0, 2.0, 0.0])
     sub = np.array([0.1, 0.2, 0.3])
-    p, q = t.weights([own, np.zeros(3)], c, sub)
+    p, q = (np.exp(x) for x in t.weights([own, np.zeros(3)], t.overall(c, np.log(sub))))
     assert p.sum() <= 1 and q.sum() <= 1 and (p > 0).all()
 
 
@@ -145,3 +145,23 @@ def test_spelling_of_near_and_far_characters():
     for first, lead in ((True, p.bytes_first), (False, p.bytes_later)):
         want = [lead[c.encode()[0]] + sum(p.bytes_later[x] for x in c.encode()[1:]) for c in chars]
         assert p.spelled(np.array([ord(c) for c in chars], np.uint32), first) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("frequent", [1 << 17, 0])
+def test_words_less_likely_than_a_double_holds(spark, frequent):
+    """A long unknown word counts by its log probability; one that was learnt keeps its share."""
+    known = "y" * 3000
+    rows = [(1, f"a cat {known}", False), (2, "x" * 5000, True), (3, known, True), (4, "", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, o boolean")
+    got = {r.doc_id: r.score for r in lattice.score(docs, F.col("o"), class_col=None, frequent=frequent).collect()}
+    p = lattice.fit_pieces(spark.createDataFrame([(bytearray(w.encode()),) for w in ("a", "cat", known)], "word binary"), PATH)
+    sub, end = p.forward(["x" * 5000])[0], got[4]
+    assert sub < -1000 and got[2] == pytest.approx(end + (2 * math.log(0.5) + sub) / math.log(10), rel=1e-9)
+    assert got[3] == pytest.approx(end + math.log10(1 / 8 + 1 / 16 * 1 + 1 / 16 * 0), rel=1e-9)
+
+
+def test_long_words_that_are_frequent_need_no_join(spark):
+    rows = [(bytearray(b"z" * 100), 1000), (bytearray(b"q" * (9 << 20)), 900), (bytearray(b"a"), 5), (bytearray(b"b" * 70), 1)]
+    words = spark.createDataFrame(rows, "word binary, n long")
+    assert sorted(len(r.word) for r in lattice._frequent(words, 10).collect()) == [1, 100]
+    assert lattice._frequent(words, 0).collect() == []
