@@ -83,10 +83,23 @@ def adjacency_blocks(sym_edges: DataFrame, most: int = BLOCK_ENTRIES) -> DataFra
         # Only vertices of several rows have anything to count, and their rows' sizes go without the neighbours.
         before = Window.partitionBy("id").orderBy("place")
         sizes = rows.select("id", "place", "size").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id"))).where("n > 1")
-        numbers = sizes.select("id", "place", (F.row_number().over(before) - 1).cast("long").alias("block"), (F.sum("size").over(before) - F.col("size")).alias("start"))
+        # Where a vertex goes on in another task, rows begin anew: these vertices' rows are not whole blocks.
+        tasks = F.size(F.collect_set(F.shiftright("place", 33)).over(Window.partitionBy("id")))
+        numbers = sizes.select("id", "place", (F.row_number().over(before) - 1).cast("long").alias("block"), (F.sum("size").over(before) - F.col("size")).alias("start"), (tasks == 1).alias("whole"))
         numbers = keep(materialise(numbers, "numbers"))
     got = rows.join(numbers, ["id", "place"], "left")
-    return got.select("id", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("start", F.lit(0)).alias("start"), "nbrs")
+    got = got.select("id", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("start", F.lit(0)).alias("start"), "nbrs", F.coalesce("whole", F.lit(True)).alias("whole"))
+    return got.where("whole").drop("whole").unionAll(_joined(got.where("not whole").drop("whole"), most))
+
+
+def _joined(rows: DataFrame, most: int) -> DataFrame:
+    """Full rows of the vertices that lie in several tasks: each row is cut where a block ends, and a block's parts are put together."""
+    first, last = F.expr(f"start div {most}"), F.expr(f"(start + size(nbrs) - 1) div {most}")
+    parts = rows.select("id", "start", "nbrs", F.explode(F.sequence(first, last)).alias("block"))
+    begin = F.greatest(F.col("start"), F.col("block") * most)
+    part = F.expr(f"slice(nbrs, cast(greatest(block * {most} - start, 0) as int) + 1, cast((block + 1) * {most} - greatest(start, block * {most}) as int))")
+    full = parts.select("id", "block", F.struct(begin.alias("start"), part.alias("nbrs")).alias("part")).groupBy("id", "block").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return full.select("id", "block", F.col("parts")[0]["start"].alias("start"), F.flatten(F.col("parts.nbrs")).alias("nbrs"))
 
 
 @dataclass
@@ -151,7 +164,8 @@ class Graph:
 
         ``block`` counts a vertex's rows from 0, ``start`` is how many entries stand before the row, and the entries of all
         rows in order are the sorted array that :meth:`adjacency` has. Both directions are sorted by ranges of vertex and
-        neighbour, so tasks share a vertex of many neighbours, even if all are the same one; each task cuts its runs.
+        neighbour, so tasks share a vertex of many neighbours, even if all are the same one; each task cuts its runs, and rows
+        of a vertex in several tasks are fitted together after that: all rows of a vertex but its last have ``most`` entries.
         """
         return adjacency_blocks(self.sym_edges, most)
 

@@ -190,6 +190,18 @@ def test_a_star_has_no_row_over_the_bound(spark):
     assert r.most <= 4096 and r.n == 2_600_000 and hub.n == 1_300_000 and hub.last == hub.rows - 1 < 400 and 0 < hub.n - hub.start <= 4096
 
 
+def test_blocks_of_a_vertex_in_several_tasks_are_whole(spark):
+    """Sorted ranges cut a hub anywhere; its rows have ``most`` entries all the same, but for the last."""
+    edges = spark.range(1000).select(F.lit(0).cast("long").alias("src"), (F.col("id") + 1).alias("dst"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = sorted(Graph(edges).blocks(16).where("id = 0").collect(), key=lambda r: r.block)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [r.start for r in rows] == list(range(0, 1000, 16)) and [len(r.nbrs) for r in rows] == [16] * 62 + [8]
+    assert [x.to for r in rows for x in r.nbrs] == list(range(1, 1001))
+
+
 # --- placed graphs ---
 
 
