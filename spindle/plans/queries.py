@@ -86,17 +86,26 @@ def _typed(edges: DataFrame) -> DataFrame:
     return e
 
 
+#: Edges in one file of those that are written with a header line of their own: a gzip file is read by one task.
+FILE_EDGES = 1_000_000
+
+
+def _dealt(edges: DataFrame, least: int) -> DataFrame:
+    """The edges in ``least`` partitions, or in more of about ``FILE_EDGES`` each: tasks and files do not grow with the table."""
+    return edges.repartition(max(least, -(-edges.count() // FILE_EDGES)))
+
+
 def _read_edges_folder(spark: SparkSession, d: str) -> DataFrame:
     """A folder of several CSV files, each with a header line of its own that names and types its columns."""
     path = _new_path(spark, "folder")
-    _typed(part_supplier(spark, d, "l_linenumber", "l_quantity")).repartition(5).write.option("header", "true").csv(path)
+    _typed(_dealt(part_supplier(spark, d, "l_linenumber", "l_quantity"), 5)).write.option("header", "true").csv(path)
     e = read_edges(spark, path, ReadOptions(include_columns=("l_linenumber",)))
     return e.select("src", "dst", F.col("data.l_linenumber").alias("l_linenumber"))
 
 
 def _read_edges_gzip(spark: SparkSession, d: str) -> DataFrame:
     path = _new_path(spark, "gzip")
-    _typed(part_supplier(spark, d, "l_linenumber", "l_quantity")).repartition(3).write.option("header", "true").option("compression", "gzip").csv(path)
+    _typed(_dealt(part_supplier(spark, d, "l_linenumber", "l_quantity"), 3)).write.option("header", "true").option("compression", "gzip").csv(path)
     return read_edges(spark, path)
 
 

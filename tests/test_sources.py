@@ -5,6 +5,7 @@ import gzip
 import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from spindle.sources.edges import BatchPayload, ReadOptions, edges_from, load_edges, map_payload, read_edges, read_vertices, write_edges
 from spindle.sources.schema import data_type, parse_header
@@ -174,3 +175,14 @@ def test_wrong_payloads_fail(spark, tmp_path, make):
 def test_payload_needs_columns(spark, tmp_path):
     with pytest.raises(ValueError):
         read_edges(spark, put(tmp_path, HEADER + "\n1,2,4,4.0,x\n"), None, payload("n int", lambda b: b))
+
+
+def test_files_of_gzip_follow_the_rows(spark, sf, monkeypatch):
+    """A gzip file is one task's, so more edges give more files, not larger ones."""
+    from spindle.plans import queries
+
+    monkeypatch.setattr(queries, "FILE_EDGES", 500, raising=False)
+    edges = queries.QUERIES["read_edges_gzip"](spark, sf)
+    per_file = edges.groupBy(F.input_file_name()).count().collect()
+    assert len(per_file) >= edges.count() // 500 > 5 and max(r["count"] for r in per_file) < 1000
+    assert len(queries.QUERIES["read_edges_folder"](spark, sf).inputFiles()) > 5
