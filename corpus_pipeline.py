@@ -12,6 +12,8 @@ from spindle.session import keep, materialise, scratch
 
 #: Ids to drop are broadcast up to this number, 16 bytes each; more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bits of a row's number that count rows of one file; those above them count files.
+ROW_BITS = 40
 # Models and components have no SQL.
 ORACLE_SQL = None
 
@@ -24,16 +26,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.accepted(docs, language.fit(docs))
 
 
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """``docs`` with a number for each row that is the same in every job, whatever number of cores reads the table.
+
+    Rows of a table that is read as it lies have the place of their file among all files, by name, and their place in the
+    file: nothing is written. Any other rows are written once with numbers beside them, as numbers made anew in each job
+    would follow the splits of the files.
+    """
+    at = docs.metadataColumn("_metadata") if docs._jdf.queryExecution().analyzed().children().isEmpty() and docs.inputFiles() else None
+    if at is None:
+        return materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    names = sorted(r[0] for r in docs.select(at["file_path"]).distinct().collect())
+    file, nth, place = (f"{row}_{n}_of_{len(docs.columns)}_columns" for n in ("file", "nth", "place"))
+    files = docs.sparkSession.createDataFrame([(n, i << ROW_BITS) for i, n in enumerate(names)], f"{file} string, {nth} long")
+    placed = docs.withColumns({file: at["file_path"], place: at["row_index"]}).join(F.broadcast(files), file)
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col(nth) + F.col(place)).alias(row))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of linked rows, the one with the smallest id; rows without a word are in no group.
 
     Groups are of rows, each named by a number of its own, so rows that repeat an id or have none are judged like any
-    other: one of each group stays, ids before nulls, the first number of equal ids. The numbers are written beside the
-    rows once, before anything is judged by them: numbers made anew in each job would follow the splits of the files,
-    and so the number of cores at the time.
+    other: one of each group stays, ids before nulls, the first number of equal ids.
     """
     row = next(n for n in itertools.chain(["row"], (f"row_{i}" for i in itertools.count())) if n not in docs.columns)
-    placed = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    placed = numbered(docs, row)
     with scratch(spark):
         classes = jaccard_join.jaccard_classes(placed.select(row, "text"), id_col=row)
         linked = classes.where("n_links > 0").select(F.col("doc_id").alias("at"), "component_id")

@@ -65,6 +65,31 @@ def test_rows_keep_their_numbers(spark, tmp_path):
     assert got == [i for i, _ in rows if i % 4 != 1]
 
 
+def test_numbers_are_not_written(spark, tmp_path, monkeypatch):
+    """Rows of a table that lies in files are numbered by their place there, without a copy; other rows are written with their numbers."""
+    written = []
+    monkeypatch.setattr(p, "materialise", lambda df, name: written.append(name) or materialise(df, name))
+    spark.range(1000).selectExpr("id AS doc_id", "'x' AS row", "'y' AS `a.b`", "'z' AS _metadata").repartition(5).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    with settings(spark, spark__sql__files__minPartitionNum="1", spark__sql__files__openCostInBytes="1"):
+        one = {r.doc_id: r.n for r in p.numbered(docs, "n").collect()}
+    with settings(spark, spark__sql__files__maxPartitionBytes="1k"):
+        two = {r.doc_id: r.n for r in p.numbered(docs, "n").collect()}
+    assert one == two and len(set(one.values())) == 1000 and not written
+    assert p.numbered(docs, "n").columns == [*docs.columns, "n"] and p.numbered(docs.limit(0), "n").collect() == []
+    twice = p.numbered(docs.join(docs.select("row").limit(2), "row"), "n").collect()
+    assert len({r.n for r in twice}) == len(twice) == 2000 and written
+
+
+def test_shuffle_files_go_with_the_step(spark):
+    """What a written table was shuffled with does not stay on the disks."""
+    seen = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: sum(seen.getAllFiles().apply(i).length() for i in range(seen.getAllFiles().size()) if seen.getAllFiles().apply(i).getName().endswith(".data"))
+    before = left()
+    materialise(spark.range(1_000_000).selectExpr("id", "xxhash64(id) AS h").repartition(4, "h"), "shuffled")
+    assert left() < before + (4 << 20)
+
+
 def test_foreign_texts_and_noise_go(spark):
     """The first stage drops what its model rejects: letters that are no language, and languages not learnt."""
     from pyspark.sql import functions as F
