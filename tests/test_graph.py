@@ -339,3 +339,16 @@ def test_traversal_of_nothing(spark):
         Traversal.over(spark.range(3), ["id"], 0)
     with pytest.raises(ValueError):
         Traversal.over(spark.range(3).withColumnRenamed("id", "chunk"), ["chunk"], 1)
+
+
+def test_rounds_send_sums_of_ranges(spark, monkeypatch):
+    """Several ranges, hubs in pieces, parallel edges and loops: the ranks of the replicated loop; a round shuffles arrays, not a row for each link."""
+    monkeypatch.setattr("spindle.operators.pagerank.RANGE_VERTICES", 16, raising=False)
+    rows = [(i * 7 % 90, i * i % 120) for i in range(400)] + [(3, 5)] * 9 + [(4, 4), (150, 3)]
+    g = graph(spark, rows)
+    frame, plans = type(spark.range(0)), []
+    kept = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, eager=True: plans.append(plan(self)) or kept(self, eager))
+    got = {r.id: r.pr for r in pagerank(g, 4, checkpoint_every=2, hub_links=3, replicate_bytes=0).collect()}
+    assert "offs" in plans[-1] and "MapInArrow" in plans[-1]
+    assert got == pytest.approx({r.id: r.pr for r in pagerank(g, 4).collect()}, abs=1e-12) and len(got) == 151
