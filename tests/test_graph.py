@@ -252,6 +252,38 @@ def test_links_of_a_placed_graph_are_not_shuffled(spark, monkeypatch):
     assert "Bucketed: true" in links and "Exchange" not in links
 
 
+@pytest.mark.parametrize(("width", "held"), [(1 << 16, 1 << 21), (7, 1), (7, 40)])
+def test_ranks_of_a_placed_graph_of_many_ranges(spark, monkeypatch, width, held):
+    """Ranges of few vertices, hubs whose pieces lie in several tasks, pieces without links, sums of few links at once."""
+    monkeypatch.setattr("spindle.operators.pagerank.RANGE_VERTICES", width)
+    monkeypatch.setattr("spindle.operators.pagerank.HELD_LINKS", held, raising=False)
+    edges = [(i % 3 * 20, i) for i in range(90)] + [(40, 7)] * 30 + [(95, 95), (3, 4), (99, 3)]
+    g = graph(spark, edges)
+    want = {r.id: r.pr for r in pagerank(g, 12).collect()}
+    got = {r.id: r.pr for r in pagerank(place(g, 4, piece_links=2), 12, replicate_bytes=0, checkpoint_every=5).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_rounds_of_a_placed_graph_handle_no_row_for_each_link(spark, monkeypatch):
+    """A round meets ranks with arrays of links and sends arrays: rows are joined and shuffled by piece and by range, not by link."""
+    plans, cut = [], type(spark.range(0)).checkpoint
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda self, *a, **k: plans.append(plan(self)) or cut(self, *a, **k))
+    g = graph(spark, [(0, i) for i in range(1, 2000)] + [(i, i + 1) for i in range(1, 2000)])
+    pagerank(place(g, 3, piece_links=100), 4, replicate_bytes=0, checkpoint_every=2)
+    rounds = plans[-1].split("InMemoryRelation")[0]
+    assert "HashAggregate" not in rounds and "Broadcast" not in rounds and rounds.count("Exchange") <= 5
+
+
+def test_buckets_follow_the_links(spark):
+    """A small graph has few buckets, however many shuffle partitions the session has."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert place(graph(spark, [(i, i + 1) for i in range(50)])).buckets == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_placed_payload_and_empty(spark):
     e = spark.createDataFrame([(1, 2, "b")], "src long, dst long, t string").select("src", "dst", F.struct("t").alias("data"))
     assert sorted((r.src, r.dst, r.data.t) for r in place(Graph(e), 2).links().collect()) == [(1, 2, "b"), (2, 1, "b")]
