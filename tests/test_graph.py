@@ -384,3 +384,55 @@ def test_rounds_send_sums_of_ranges(spark, monkeypatch):
     got = {r.id: r.pr for r in pagerank(g, 4, checkpoint_every=2, hub_links=3, replicate_bytes=0).collect()}
     assert "offs" in plans[-1] and "MapInArrow" in plans[-1]
     assert got == pytest.approx({r.id: r.pr for r in pagerank(g, 4).collect()}, abs=1e-12) and len(got) == 151
+
+
+@pytest.mark.parametrize("hub_links", [100_000, 3])
+def test_rounds_leave_no_files(spark, hub_links):
+    """Shuffle files and checkpoints of the rounds are gone when the loop ends, without the driver's collector; only the ranks are left."""
+    import os
+    import time
+
+    g = graph(spark, [(i * 7 % 90, i * i % 120) for i in range(400)])
+    g.edges.checkpoint()
+    assert g.edge_num == 400
+    sc = spark.sparkContext._jsc.sc()
+    where = sc.getCheckpointDir().get().removeprefix("file:")
+    shuffled = lambda: {f for f in sc.env().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before, held = shuffled(), set(os.listdir(where))
+    ranks = pagerank(g, 7, checkpoint_every=2, hub_links=hub_links, replicate_bytes=0)
+    until = time.time() + 10  # Spark deletes in the background
+    while not shuffled() <= before and time.time() < until:
+        time.sleep(0.1)
+    assert shuffled() <= before and set(os.listdir(where)) <= held
+    assert ranks.count() == g.vertex_num
+
+
+@pytest.mark.parametrize("hub_links", [100_000, 3])
+def test_large_rounds_are_cut_one_by_one(spark, monkeypatch, hub_links):
+    """Where the ranks of a round are many, each round is cut, whatever number is asked for."""
+    g = graph(spark, [(i * 7 % 90, i * i % 120) for i in range(400)])
+    want = {r.id: r.pr for r in pagerank(g, 5).collect()}
+    monkeypatch.setattr("spindle.operators.pagerank.HELD_RANKS", 100, raising=False)
+    frame, cut = type(spark.range(0)), []
+    kept = frame.checkpoint
+    monkeypatch.setattr(frame, "checkpoint", lambda self, eager=True: cut.append(self.columns) or kept(self, eager))
+    got = {r.id: r.pr for r in pagerank(g, 5, hub_links=hub_links, replicate_bytes=0).collect()}
+    assert sum("got" in c for c in cut) == 4 and got == pytest.approx(want, abs=1e-12)
+
+
+def test_sums_are_sent_to_ranges_once(spark, monkeypatch):
+    """A range of several pieces is sent one sum for each vertex and piece that meet, not one for each of its own pieces as well."""
+    g = graph(spark, [(0, i) for i in range(1, 300)] + [(i, 7 * i % 300) for i in range(300)])
+    frame, rows = type(spark.range(0)), []
+    kept = frame.checkpoint
+
+    def cut(self, eager=True):
+        out = kept(self, eager)
+        if "got" in out.columns:
+            rows.append([r.dst for r in out.select("dst").collect()])
+        return out
+
+    monkeypatch.setattr(frame, "checkpoint", cut)
+    want = {r.id: r.pr for r in pagerank(g, 4).collect()}
+    got = {r.id: r.pr for r in pagerank(g, 4, checkpoint_every=2, hub_links=3, replicate_bytes=0).collect()}
+    assert rows and all(len(r) == len(set(r)) for r in rows) and got == pytest.approx(want, abs=1e-12)
